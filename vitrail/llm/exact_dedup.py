@@ -86,10 +86,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "text_sha256",
     )
     maybe = tested.where("maybe").select("doc_id", "text_sha256")
-    summary = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # The join key is not the grouping key: the summary then gets an exchange of
+    # its own, and AQE can split a hot digest on the side of the rows.
+    summary = (
+        maybe.groupBy("text_sha256")
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select(F.unhex("text_sha256").alias("_sha"), "keep_id", "group_size")
     )
-    several = maybe.join(summary, F.col("text_sha256") == F.col("_sha")).select(
+    several = maybe.join(summary, F.unhex(maybe["text_sha256"]) == F.col("_sha")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return single.unionByName(several)
