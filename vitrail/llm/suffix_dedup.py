@@ -102,6 +102,8 @@ def later(bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
     The same (doc, pos) twice is one occurrence (a repeated row)."""
     out = np.zeros(len(bucket), bool)
+    if not len(bucket):
+        return out
     order = np.argsort(bucket, kind="stable")
     same = bucket[order][1:] == bucket[order][:-1]
     sel = order[np.r_[False, same] | np.r_[same, False]]
