@@ -26,7 +26,6 @@ sends a set once, so hot copies cost little.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 from vitrail.llm import arrays as A
 from vitrail.llm.components import components
 from vitrail.llm.scratch import partitions, written
+from vitrail.llm.textscan import Scan
 
 TILE = 1 << 19
 FLUSH = 1_500_000
@@ -43,52 +43,11 @@ GROUPS = 128
 FANOUT = 16
 CELL_SETS = 2048
 CELL_TOKENS = 2_000_000
-_R = 0x5851F42D4C957F2D
-_RINV = pow(_R, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _byte_codes() -> np.ndarray:
-    t = A.mix(np.arange(1, 257, dtype=np.uint64), 7)
-    t[65:91] = t[97:123]
-    return t
-
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, r in enumerate((_R, _RINV)):
-                x = np.full(n, A.U64(r))
-                x[0] = 1
-                _powers[i] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of each text, and offsets."""
-    n = len(off) - 1
-    at = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(off))
-    text = np.full(len(data) + n + 1, 0x20, np.uint8)
-    text[at + 1] = data
-    space = (text == 0x20) | ((text >= 9) & (text <= 13))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    if len(ends) < len(starts):
-        ends = np.r_[ends, len(text)]
-    power, inverse = _power_tables(len(text))
-    with np.errstate(over="ignore"):
-        h = np.cumsum(_byte_codes()[text] * power[: len(text)])
-        raw = (h[ends - 1] - h[starts - 1]) * inverse[starts]
-    words = A.mix(raw, (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, off + np.arange(n + 1) + 1)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of each text."""
-    words, woff = word_hashes(data, off)
+    """Sorted distinct hashes of the k-word shingles (A-Z lower-cased) of each text."""
+    words, woff = Scan(data, off, fold=True).words()
     sh = words[: max(len(words) - k + 1, 0)]
     for i in range(1, k):
         sh = A.mix(sh, words[i : len(words) - k + 1 + i])
