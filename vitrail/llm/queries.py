@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrail.llm.exact_dedup import exact_dedup
 from vitrail.llm.ngram_join import ngram_join
+from vitrail.llm.packing import pack_documents
 from vitrail.llm.suffix_dedup import suffix_dedup
 
 
@@ -19,6 +20,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_ngram_join": op7_ngram_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
