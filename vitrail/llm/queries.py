@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrail.llm.exact_dedup import exact_dedup
 from vitrail.llm.ngram_join import ngram_join
 from vitrail.llm.packing import pack_documents
+from vitrail.llm.quality_rules import quality_rules
 from vitrail.llm.suffix_dedup import suffix_dedup
 
 
@@ -28,6 +29,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_ngram_join": op7_ngram_join,
+    "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
