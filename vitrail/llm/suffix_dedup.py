@@ -131,6 +131,11 @@ def _spans_out(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_buckets: int)
     return [(b, 1, x) for b, x in A.dealt(bucket, n_buckets, doc, lo, hi)]
 
 
+def _runs_out(doc: np.ndarray, packed: np.ndarray, n_buckets: int) -> list[tuple[int, int, bytes]]:
+    bucket = (A.mix(doc.view(np.uint64)) % A.U64(n_buckets)).astype(np.int64)
+    return [(b, 0, x) for b, x in A.dealt(bucket, n_buckets, doc, packed)]
+
+
 def _by_doc(docs: np.ndarray, *values: np.ndarray) -> dict[int, bytes]:
     order = np.argsort(docs, kind="stable")
     ids, first = np.unique(docs[order], return_index=True)
@@ -139,6 +144,24 @@ def _by_doc(docs: np.ndarray, *values: np.ndarray) -> dict[int, bytes]:
     return {int(d): table[s:e].tobytes() for d, s, e in zip(ids, first, ends)}
 
 
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs and disjoint spans of each document of the partition's buckets."""
+    found, spans = _gathered(batches)
+    runs_of = _by_doc(*A.unpack_all(found, 2))
+    span_of = _by_doc(*A.merged_by(*A.unpack_all(spans, 3)))
+    ids = sorted(runs_of.keys() | span_of.keys())
+    for s in range(0, len(ids), 10_000):
+        part = ids[s : s + 10_000]
+        yield pa.record_batch(
+            [
+                pa.array(part, pa.int64()),
+                pa.array([runs_of.get(d) for d in part], pa.binary()),
+                pa.array([span_of.get(d) for d in part], pa.binary()),
+            ],
+            schema=_MARK,
+        )
+
+
 def _tiles(batch: pa.RecordBatch, width: int):
     """(data, starts, ends, ids, bases) of groups of documents and of the
     overlapping tiles of long documents; each window is in exactly one."""
@@ -184,18 +207,6 @@ def _anchor_task(width: int, n_buckets: int):
     return task
 
 
-def _marks(docs_runs: dict[int, bytes], docs_spans: dict[int, bytes]) -> pa.RecordBatch:
-    ids = sorted(docs_runs.keys() | docs_spans.keys())
-    return pa.record_batch(
-        [
-            pa.array(ids, pa.int64()),
-            pa.array([docs_runs.get(d) for d in ids], pa.binary()),
-            pa.array([docs_spans.get(d) for d in ids], pa.binary()),
-        ],
-        schema=_MARK,
-    )
-
-
 def _gathered(batches) -> tuple[list[bytes], list[bytes]]:
     kinds: tuple[list[bytes], list[bytes]] = ([], [])
     for batch in batches:
@@ -204,7 +215,7 @@ def _gathered(batches) -> tuple[list[bytes], list[bytes]]:
     return kinds
 
 
-def _sparse_task(width: int):
+def _sparse_task(width: int, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, spans = _gathered(batches)
         key, refined, doc, packed = A.unpack_all(found, 4)
@@ -218,12 +229,14 @@ def _sparse_task(width: int):
         order = np.argsort(key, kind="stable")  # first runs of one anchor bucket
         same = key[order][1:] == key[order][:-1]
         left = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
-        yield _marks(_by_doc(doc[left], packed[left]), _by_doc(sdoc, slo, shi))
+        yield _parts(_runs_out(doc[left], packed[left], n_buckets) + _spans_out(sdoc, slo, shi, n_buckets))
 
     return task
 
 
-def _dense_task(width: int, n_buckets: int):
+def _dense_task(width: int, n_buckets: int, columns: list[str]):
+    at_id, at_text, n_columns = columns.index("doc_id"), columns.index("text"), len(columns)
+
     def flush(parts, spans):
         rows = []
         if parts:
@@ -240,12 +253,12 @@ def _dense_task(width: int, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, spans, n = [], [], 0
         for batch in batches:
-            data, off = A.utf8(batch.column(1))
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                s = np.frombuffer(b"".join(batch.column(3)[i].as_py() or ()), np.int64).reshape(-1, 2)
+            data, off = A.utf8(batch.column(at_text))
+            for i, d in enumerate(batch.column(at_id).to_pylist()):
+                s = np.frombuffer(batch.column(n_columns + 1)[i].as_py() or b"", np.int64).reshape(-1, 2)
                 if len(s):
                     spans.append((np.full(len(s), d), s[:, 0], s[:, 1]))
-                r = np.frombuffer(b"".join(batch.column(2)[i].as_py() or ()), np.int64)
+                r = np.frombuffer(batch.column(n_columns)[i].as_py() or b"", np.int64)
                 if len(r):
                     r = np.unique(r)
                     pos, more = r >> 8, r & 255
@@ -262,61 +275,53 @@ def _dense_task(width: int, n_buckets: int):
     return task
 
 
-def _settle_task(width: int):
+def _settle_task(width: int, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, spans = _gathered(batches)
         wid, doc, pos = A.unpack_all(found, 3)
         again = later(wid.view(np.uint64), doc, pos)
         sdoc, slo, shi = A.unpack_all(spans, 3)
         merged = A.merged_by(np.r_[sdoc, doc[again]], np.r_[slo, pos[again]], np.r_[shi, pos[again] + width])
-        yield _marks({}, _by_doc(*merged))
+        yield _parts(_spans_out(*merged, n_buckets))
 
     return task
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
-    """(doc_id, spans array<binary>): byte ranges to remove, as little-endian
-    int64 pairs, possibly overlapping; documents without any are absent.
-
-    `width` is 64 to 128 bytes.  Null ids take no part.
+def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
+    """`docs` (doc_id long, text, any others) and `_spans` binary: the byte
+    ranges to remove, as little-endian int64 pairs, disjoint and ascending;
+    null if there are none.  `width` is 64 to 128 bytes.  Rows without id have none.
     """
     if not 2 * Q <= width <= 4 * Q:
         raise ValueError("width must be 64 to 128")
-    n = partitions(docs.sparkSession)
-    n_buckets = 4 * n
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(
-        "doc_id is not null"
-    )
+    n = n_buckets = partitions(docs.sparkSession)
+    named = docs.where("doc_id is not null")
+    texts = named.repartition(n, "doc_id")  # one exchange, read by both joins
     marks = (
-        base.mapInArrow(_anchor_task(width, n_buckets), _PART_DDL)
+        named.select("doc_id", "text")
+        .mapInArrow(_anchor_task(width, n_buckets), _PART_DDL)
+        .repartition(n, "bucket")
+        .mapInArrow(_sparse_task(width, n_buckets), _PART_DDL)
         .repartition(n, "bucket")
-        .mapInArrow(_sparse_task(width), _MARK_DDL)
-        .groupBy("doc_id")
-        .agg(F.collect_list("runs").alias("runs"), F.collect_list("spans").alias("spans"))
+        .mapInArrow(_per_document, _MARK_DDL)
     )
-    texts = base.repartition(n, "doc_id")
-    return (
+    spans = (
         texts.join(marks.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "runs", "spans")
-        .mapInArrow(_dense_task(width, n_buckets), _PART_DDL)
+        .select(*docs.columns, "runs", "spans")
+        .mapInArrow(_dense_task(width, n_buckets, docs.columns), _PART_DDL)
         .repartition(n, "bucket")
-        .mapInArrow(_settle_task(width), _MARK_DDL)
-        .groupBy("doc_id")
-        .agg(F.collect_list("spans").alias("spans"))
+        .mapInArrow(_settle_task(width, n_buckets), _PART_DDL)
+        .repartition(n, "bucket")
+        .mapInArrow(_per_document, _MARK_DDL)
+        .select("doc_id", F.col("spans").alias("_spans"))
     )
+    out = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
+    return out.unionByName(docs.where("doc_id is null").withColumn("_spans", F.lit(None).cast("binary")))
 
 
-def spans_of(blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint maximal ranges of a document."""
-    s = np.frombuffer(b"".join(blobs or ()), np.int64).reshape(-1, 2)
-    return A.merged(s[:, 0], s[:, 1])
-
-
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    spans = repeated_spans(docs, width=width)
-    return docs.repartition(partitions(docs.sparkSession), "doc_id").join(
-        spans.hint("shuffle_hash"), "doc_id", "left"
-    )
+def spans_of(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(blob or b"", np.int64).reshape(-1, 2)
+    return s[:, 0], s[:, 1]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
@@ -349,10 +354,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return (
-        _with_spans(base, width)
-        .select("doc_id", "text", "spans")
-        .mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(base, width).mapInArrow(
+        task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
@@ -362,8 +365,8 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     A character goes if all of its bytes do, so that texts stay valid UTF-8.
     """
 
-    def cut(text: bytes, blobs: list[bytes] | None) -> str | None:
-        lo, hi = spans_of(blobs)
+    def cut(text: bytes, blob: bytes) -> str:
+        lo, hi = spans_of(blob)
         keep, at = [], 0
         for s, e in zip(lo.tolist(), hi.tolist()):
             while s < e and text[s] & 0xC0 == 0x80:
@@ -384,6 +387,4 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
             yield pa.record_batch(columns, names=batch.schema.names[:k])
 
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_spans(base, width=width).withColumnRenamed("spans", "_spans")
-    joined = base.repartition(partitions(docs.sparkSession), "doc_id").join(spans.hint("shuffle_hash"), "doc_id", "left")
-    return joined.select(*base.columns, "_spans").mapInArrow(task, base.schema)
+    return with_spans(base, width).mapInArrow(task, base.schema)
