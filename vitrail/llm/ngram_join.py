@@ -261,7 +261,8 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
 def _cell_task(k: int, num: int, den: int):
     def links(rows):
         texts = pa.array([r[3] for r in rows], pa.string())
-        sets = shingle_sets(*A.utf8(texts), k)
+        data, off = A.utf8(texts)
+        sets = [s for i, j in A.groups_of(off, TILE) for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)]
         found = cell_links(sets, np.array([r[2] for r in rows]), num, den)
         a, b = [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
