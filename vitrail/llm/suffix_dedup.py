@@ -296,7 +296,14 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         raise ValueError("width must be 64 to 128")
     n = n_buckets = partitions(docs.sparkSession)
     named = docs.where("doc_id is not null")
-    texts = named.repartition(n, "doc_id")  # one exchange, read by both joins
+    # Renamed, both joins read one exchange: a plain self-join would be
+    # given an alias on one side only, and the texts would shuffle twice.
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    key = inner[docs.columns.index("doc_id")]
+
+    def texts() -> DataFrame:
+        return named.select(*(F.col(c).alias(x) for c, x in zip(docs.columns, inner))).repartition(n, key)
+
     marks = (
         named.select("doc_id", "text")
         .mapInArrow(_anchor_task(width, n_buckets), _PART_DDL)
@@ -306,16 +313,21 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         .mapInArrow(_per_document, _MARK_DDL)
     )
     spans = (
-        texts.join(marks.hint("shuffle_hash"), "doc_id")
-        .select(*docs.columns, "runs", "spans")
+        texts()
+        .join(marks.hint("shuffle_hash"), F.col(key) == F.col("doc_id"))
+        .select(*inner, "runs", "spans")
         .mapInArrow(_dense_task(width, n_buckets, docs.columns), _PART_DDL)
         .repartition(n, "bucket")
         .mapInArrow(_settle_task(width, n_buckets), _PART_DDL)
         .repartition(n, "bucket")
         .mapInArrow(_per_document, _MARK_DDL)
-        .select("doc_id", F.col("spans").alias("_spans"))
+        .select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    )
+    out = (
+        texts()
+        .join(spans.hint("shuffle_hash"), F.col(key) == F.col("_id"), "left")
+        .select(*(F.col(x).alias(c) for c, x in zip(docs.columns, inner)), "_spans")
     )
-    out = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
     return out.unionByName(docs.where("doc_id is null").withColumn("_spans", F.lit(None).cast("binary")))
 
 
