@@ -328,7 +328,8 @@ def ngram_join(
         )
     )
     links = written(
-        named.join(placed, F.col("doc_id") == F.col("first_id"))
+        # the same plan at every size: `placed` grows with the corpus, so it is never broadcast
+        named.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"))
         .select("cell", "sid", "side", "text")
         .repartition(n, "cell")
         .sortWithinPartitions("cell")
