@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrail.llm.bpe_codec import bpe_codec
 from vitrail.llm.exact_dedup import exact_dedup
 from vitrail.llm.html_extraction import extract_main_text
 from vitrail.llm.language_id import language_id
@@ -49,6 +50,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_ngram_join": op7_ngram_join,
+    "op8_bpe_codec": op8_bpe_codec,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
