@@ -119,7 +119,7 @@ def train_toxicity_model(
         .select(F.col(id_col).cast("long").alias("id"), F.col("_y").alias("y"), F.col(text_col).alias("text"))
         .where("text is not null"),
         "toxicity-sample",
-    )
+    ).coalesce(8)  # a bounded sample, however many files it came from
     size = 1 << BITS
 
     def count(batch: pa.RecordBatch, v: np.ndarray) -> None:
