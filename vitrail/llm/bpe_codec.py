@@ -113,7 +113,9 @@ def fold_word(hexed: Column, ranks: Column) -> Column:
 
 def encode_words(words: DataFrame, word_col: str, path: str) -> DataFrame:
     """`words` with ids array<int>, by the fold."""
-    return words.withColumn("ids", fold_word(F.lower(F.hex(F.encode(F.col(word_col), "UTF-8"))), rank_map(path)))
+    hexed = F.lower(F.hex(F.encode(F.col(word_col), "UTF-8")))
+    # bound to a variable, the literal is in the plan once
+    return words.withColumn("ids", _let(rank_map(path), lambda ranks: fold_word(hexed, ranks)))
 
 
 def words_of(text: Column) -> Column:
@@ -123,9 +125,9 @@ def words_of(text: Column) -> Column:
 
 def native_ids(text: Column, path: str) -> Column:
     """A text's ids (array<int>) in the plan alone: each distinct word is folded once."""
-    ranks, words = rank_map(path), words_of(text)
+    words = words_of(text)
 
-    def of_words(w: Column) -> Column:
+    def of_words(w: Column, ranks: Column) -> Column:
         def of_distinct(d: Column) -> Column:
             def gather(e: Column) -> Column:
                 return F.flatten(F.transform(w, lambda x: F.element_at(e, F.array_position(d, x).cast("int"))))
@@ -134,14 +136,14 @@ def native_ids(text: Column, path: str) -> Column:
 
         return _let(F.array_distinct(w), of_distinct)
 
-    return _let(words, of_words)
+    return _let(rank_map(path), lambda ranks: _let(words, lambda w: of_words(w, ranks)))
 
 
 def native_bytes(ids: Column, path: str) -> Column:
     """Decoding in the plan: the ids' pieces concatenated."""
     pieces = [b.hex() for b, _ in sorted(load_ranks(path).items(), key=lambda x: x[1])]
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    return F.unhex(_let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.element_at(t, i + 1)), "")))
 
 
 def bpe_native(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
