@@ -1,0 +1 @@
+"""Spark-native analytics of scanned clinical documents."""
