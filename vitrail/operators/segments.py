@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.functions.fuzzy import partial_ratio, token_set_ratio
+from vitrail.operators.spans import let
 
 MAX_CHARS, OVERLAP = 800, 150
 #: Relevance cues.
@@ -19,16 +20,20 @@ ADMINISTRATIVE = (
 
 
 def _pack(pieces: Column, glue: str, limit: int) -> Column:
-    """Consecutive pieces joined while they fit."""
+    """Consecutive pieces joined while they fit.  The open one is kept apart
+    from the finished ones, so a step copies no array."""
     n = len(glue)
 
-    def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
-        fits = F.length(last) + n + F.length(p) <= limit
-        grown = F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(glue), p)))).otherwise(F.concat(out, F.array(p)))
-        return F.when(F.size(out) == 0, F.array(p)).otherwise(grown)
+    def step(s: Column, p: Column) -> Column:
+        fits = F.length(s["open"]) + n + F.length(p) <= limit
+        return (
+            F.when(s["open"] == "", F.struct(s["out"].alias("out"), p.alias("open")))
+            .when(fits, F.struct(s["out"].alias("out"), F.concat(s["open"], F.lit(glue), p).alias("open")))
+            .otherwise(F.struct(F.concat(s["out"], F.array(s["open"])).alias("out"), p.alias("open")))
+        )
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
+    return F.aggregate(pieces, init, step, lambda s: F.when(s["open"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["open"]))))
 
 
 def segments(text: Column, max_chars: int = MAX_CHARS, overlap: int = 0) -> Column:
@@ -38,18 +43,17 @@ def segments(text: Column, max_chars: int = MAX_CHARS, overlap: int = 0) -> Colu
     paras = F.filter(F.transform(F.split(t, r"\n\s*\n"), lambda p: F.btrim(p, F.lit("\n"))), lambda p: p != "")
     words = lambda p: F.filter(F.split(p, r"(?U)\s+"), lambda w: w != "")
     fine = F.flatten(F.transform(paras, lambda p: F.when(F.length(p) <= max_chars, F.array(p)).otherwise(_pack(words(p), " ", max_chars))))
-    base = _pack(fine, "\n\n", max_chars)
-    if overlap:
 
+    def overlapped(base: Column) -> Column:
         def with_tail(s: Column, i: Column) -> Column:
             tail = F.right(F.get(base, i - 1), F.lit(overlap))
             tail = F.when(tail.contains(" "), F.regexp_replace(tail, r"(?s)^[^ ]* ", "")).otherwise(tail)
             return F.when(i == 0, s).otherwise(F.trim(F.concat(tail, F.lit("\n\n"), s)))
 
-        packed = F.transform(base, with_tail)
-    else:
-        packed = base
-    return F.when(t == "", F.array().cast("array<string>")).when((F.length(t) <= max_chars) | (F.size(base) == 0), F.array(t)).otherwise(packed)
+        return F.when(F.size(base) == 0, F.array(t)).otherwise(F.transform(base, with_tail) if overlap else base)
+
+    whole = F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= max_chars, F.array(t))
+    return whole.otherwise(let(_pack(fine, "\n\n", max_chars), overlapped))
 
 
 def is_relevant(segment: Column) -> Column:

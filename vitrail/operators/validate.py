@@ -11,6 +11,7 @@ from vitrail.functions.text import normalize
 from vitrail.operators import context as C
 from vitrail.operators.entities import SHORT_COURSE, has_any
 from vitrail.operators.sections import HEADINGS
+from vitrail.operators.spans import let
 
 DIAGNOSTIC = ("pathologies_actives", "antecedents", "facteurs_risque")
 #: Shapes of values that are no list entries.
@@ -46,22 +47,29 @@ def _reject(rule: str, detail: Column | str) -> Column:
     return F.struct(F.lit(rule).alias("regle"), d.alias("detail"))
 
 
-def verdict(text: Column, value: Column, passage: Column, section: Column, offset: Column) -> Column:
+def verdict(text: Column, value: Column, passage: Column, section: Column, offset: Column, text_norm: Column | None = None) -> Column:
     """struct<rejet: struct<regle,detail>, section, mention>; rejet is null for
-    what is kept, section is where it goes.
+    what is kept, section is where it goes.  `text_norm` is the normalised
+    text where the caller has it, once per document.
 
     Context decides before the rules on treatments and lab values, and a
     value that it re-routes or marks is not held against those."""
-    v, p = F.trim(F.coalesce(value, F.lit(""))), F.trim(F.coalesce(passage, F.lit("")))
-    low = normalize(v)
+    norm = normalize(F.coalesce(text, F.lit(""))) if text_norm is None else F.coalesce(text_norm, F.lit(""))
+    known = F.struct(
+        F.trim(F.coalesce(value, F.lit(""))).alias("v"), F.trim(F.coalesce(passage, F.lit(""))).alias("p"), normalize(F.trim(F.coalesce(value, F.lit("")))).alias("low"),
+        C.qualify(F.coalesce(text, F.lit("")), offset).alias("q"),
+    )
+    return let(known, lambda k: _verdict(norm, k["v"], k["p"], k["low"], k["q"], section))
+
+
+def _verdict(norm: Column, v: Column, p: Column, low: Column, q: Column, section: Column) -> Column:
     letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
     dots = F.length(v) - F.length(F.replace(v, F.lit("."), F.lit("")))
     words = F.size(F.filter(F.split(v, r"(?U)\s+"), lambda w: w != ""))
     diagnostic, drug = section.isin(*DIAGNOSTIC), section == "traitements_long_cours"
-    q = C.qualify(F.coalesce(text, F.lit("")), offset)
     said = C.verdict(q)
     early = (
-        F.when((p == "") | ~normalize(F.coalesce(text, F.lit(""))).contains(normalize(p)), _reject("validateur_ancrage", "passage introuvable dans le texte source"))
+        F.when((p == "") | ~norm.contains(normalize(p)), _reject("validateur_ancrage", "passage introuvable dans le texte source"))
         .when((F.length(v) < 3) | (F.length(v) > 120) | (F.length(p) > 250) | (dots >= 2) | (words > 18),
               _reject("validateur_longueur", F.concat(F.length(v), F.lit(" car., "), words, F.lit(" mots"))))
         .when(v.rlike(r"\[[A-Z_]+_\d+\]"), _reject("validateur_pseudo", "jeton de pseudonymisation dans la valeur"))
@@ -89,10 +97,12 @@ def verdict(text: Column, value: Column, passage: Column, section: Column, offse
 
 
 def validate(candidates: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(kept, rejects) of candidates with their document's text; kept + rejects = input."""
+    """(kept, rejects) of candidates with their document's text (and text_norm, if
+    they have it); kept + rejects = input."""
+    norm = F.col("text_norm") if "text_norm" in candidates.columns else None
     c = candidates.withColumn(
-        "_v", verdict(F.col(text_col), F.col("valeur"), F.col("passage"), F.col("section"), F.col("offset_debut"))
-    )
+        "_v", verdict(F.col(text_col), F.col("valeur"), F.col("passage"), F.col("section"), F.col("offset_debut"), norm)
+    ).drop("text_norm")
     kept = (
         c.where("_v.rejet is null").withColumn("section", F.col("_v.section")).withColumn("mention_contexte", F.col("_v.mention"))
         .withColumn("valeur", F.trim("valeur")).drop("_v", text_col)
