@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +118,6 @@ def fingerprint(vsm: DataFrame, out: str = "empreinte") -> DataFrame:
     import hashlib
     import json
 
-    import pandas as pd
 
     @F.pandas_udf("string")
     def digest(s: pd.Series) -> pd.Series:
@@ -136,7 +136,6 @@ def assign_candidates(fields: DataFrame, candidates: DataFrame, cutoff: float =
     order takes the best unused candidate at or above the cutoff.
 
     fields, candidates: document_id, section, ord, valeur."""
-    import pandas as pd
 
     from vitrail.functions.fuzzy import token_set_ratio
 

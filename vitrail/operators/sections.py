@@ -7,6 +7,7 @@ in the document, taken from the match itself, never looked up by content.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,7 +164,7 @@ def free_drugs(docs: DataFrame) -> DataFrame:
     named = F.btrim(F.array_join(kept, " "), F.lit(" .;:"))
     first = _rows(m.where(F.length(named) >= 3), named, "traitements_long_cours", 0.55, F.col("m.start"))
     lines = _lines(docs).where(~F.col("line").rlike(LAB_LINE) & (F.length(F.trim("line")) >= 4))
-    hit = reduce(lambda a, k: a | normalize(F.col("line")).contains(k), _drug_keys(), F.lit(False))
+    hit = normalize(F.col("line")).rlike("|".join(re.escape(k) for k in _drug_keys()))  # the line is normalised once
     clean, at = _trimmed(F.col("line"), F.col("at"), EDGE)
     second = _rows(lines.where(hit), clean, "traitements_long_cours", F.when(F.col("line").rlike(DOSE), 0.7).otherwise(0.55), at)
     return first.unionByName(second)

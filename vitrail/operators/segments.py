@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,6 @@ def anchor(text: str, passage: str, value: str) -> tuple[int, int, int, str]:
 
 def anchored(items: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ancre: struct<offset,longueur,niveau,passage>, and the confidence it gives."""
-    import pandas as pd
 
     @F.pandas_udf("offset int, longueur int, niveau int, passage string")
     def run(t: pd.Series, p: pd.Series, v: pd.Series) -> pd.DataFrame:
@@ -113,7 +113,6 @@ def llm_entities(docs: DataFrame, provider, max_chars: int = MAX_CHARS, overlap:
     of a document the rest is not asked.  A document's segments stay in one task."""
 
     def run(batches):
-        import pandas as pd
 
         ask = provider()
         for b in batches:

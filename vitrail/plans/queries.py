@@ -523,8 +523,8 @@ def fuzzy_scores(spark, sf_dir):
 
 def _candidates(spark, sf_dir) -> DataFrame:
     """The items of every document as candidates for points_vigilance."""
-    d = docs(spark, sf_dir)
-    it = d.select("document_id", "text", X.normalize(F.col("text")).alias("text_norm"), F.posexplode(X.items(F.col("text"))).alias("ord", "valeur"))
+    d = docs(spark, sf_dir).withColumn("text_norm", X.normalize(F.col("text")))  # below the explode: once per document
+    it = d.select("document_id", "text", "text_norm", F.posexplode(X.items(F.col("text"))).alias("ord", "valeur"))
     return it.withColumn("passage", F.left("valeur", F.lit(100))).withColumn("section", F.lit("points_vigilance")).withColumn("offset_debut", F.lit(0))
 
 

@@ -18,3 +18,26 @@ def get_session(app: str = "vitrail", master: str | None = None, **conf: str) ->
     for k, v in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors if they could not import it otherwise,
+    once per application."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_vitrail_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="vitrail-"), "vitrail.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._vitrail_shipped = True

@@ -27,9 +27,17 @@ def oversized(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Dat
     return files.where(F.col("length") > max_bytes).select("path", "length")
 
 
+def _windows_1252() -> tuple[str, str]:
+    """The code points 0x80 to 0x9F that Windows-1252 has characters for, by rule."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs)
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 if valid, else Windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    """Bytes as text: UTF-8 if valid, else Windows-1252 (as Latin-1 with its
+    extra characters, since decode() knows few character sets)."""
+    latin = F.translate(F.decode(content, "ISO-8859-1"), *_windows_1252())
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
 
 
 def texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
