@@ -14,9 +14,12 @@ split in a way that loses no link:
    a * (1 - t) / t tokens.  Cut token space into one group more than that: some group
    then holds the same tokens in both.  Sets of close sizes that agree in a
    group (equal coordinates, told by an order-free hash) are candidates.
-2. Components of candidates become cells, each with an R-tree of its own.
-   A component beyond a fixed size is cut into tiles, and each pair of tiles is a
-   cell; so a task's input is bounded and no link is lost.
+2. Components of candidates become cells, each with an R-tree of its own.  A
+   component beyond a fixed size is first held, chunk by chunk, against some
+   pivots of its own; that links most of it.  What is not in its largest part
+   then meets all of it, tile by tile.  Pairs within that part are connected already, so no
+   component is lost, cells are bounded, and the work grows with the
+   outliers and not with the square of the component.
 3. Verified links, kept as a spanning forest per cell, give the components.
 
 Equal sets are one point.  Group records travel as blobs by key, and each task
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
@@ -41,8 +44,9 @@ TILE = 1 << 19
 FLUSH = 1_500_000
 GROUPS = 128
 FANOUT = 16
-CELL_SETS = 2048
-CELL_TOKENS = 2_000_000
+CELL_SETS, CELL_TOKENS = 256, 2_000_000  # of a component that is one cell
+CHUNK_SETS, PIVOTS, PIVOT_TOKENS = 192, 48, 1_000_000  # of a larger one
+OUTLIER_TILE, TILE_SETS = 96, 192
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -225,9 +229,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def cell_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a cell.  side: 0 or 1 for the tile in
-    a cell of two tiles, else all 2; links within tiles 0 and 1 belong to other cells."""
+def cell_links(
+    sets: list[np.ndarray], side: np.ndarray, num: int, den: int, group: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a cell.  side: 2 for all, or 0 and 1
+    for two parts of which only links across count.  Sets of one group are connected."""
     sizes = np.array([len(s) for s in sets], np.int64)
     points = np.stack([np.bincount((s & A.U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets])
     points = points.astype(np.int32)
@@ -239,6 +245,9 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
             i = parent[i]
         return i
 
+    if group is not None:
+        _, first, place = np.unique(group, return_index=True, return_inverse=True)
+        parent = first[place].tolist()
     probe = np.flatnonzero(side != 1)
     indexed = np.flatnonzero(side != 0)
     out = []
@@ -260,17 +269,17 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
 
 def _cell_task(k: int, num: int, den: int):
     def links(rows):
-        texts = pa.array([r[3] for r in rows], pa.string())
+        texts = pa.array([r[4] for r in rows], pa.string())
         data, off = A.utf8(texts)
         sets = [s for i, j in A.groups_of(off, TILE) for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)]
-        found = cell_links(sets, np.array([r[2] for r in rows]), num, den)
+        found = cell_links(sets, np.array([r[2] for r in rows]), num, den, np.array([r[3] for r in rows]))
         a, b = [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if rows and r[0] != rows[0][0]:
                     yield links(rows)
                     rows = []
@@ -281,6 +290,44 @@ def _cell_task(k: int, num: int, den: int):
     return task
 
 
+def _tile_of(salt: int, tiles: Column) -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(salt)), tiles)
+
+
+def _tiles_for(sets: Column, tokens: Column, most: int) -> Column:
+    return F.greatest(F.ceil(sets / most), F.ceil(tokens / CELL_TOKENS), F.lit(1))
+
+
+def _copies(tiles: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))
+
+
+def _large_links(large: DataFrame, verified) -> DataFrame:
+    """Links of components too large for a cell: by pivots, then by outliers.
+
+    large: sid, root, m, tokens, large, text."""
+    mean = F.col("tokens") / F.col("m")
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(4), F.floor(PIVOT_TOKENS / mean)))
+    chunks = _tiles_for(F.col("m"), F.col("tokens"), CHUNK_SETS)
+    cell = lambda *parts: F.xxhash64("root", *parts)
+    chunked = large.select(cell(_tile_of(1, chunks)).alias("cell"), "sid", F.lit(1).alias("side"), F.col("sid").alias("grp"), "text")
+    pivots = large.where(_tile_of(2, F.ceil(F.col("m") / wanted)) == 0).withColumn("c", _copies(chunks))
+    pivots = pivots.select(cell("c").alias("cell"), "sid", F.lit(0).alias("side"), F.col("sid").alias("grp"), "text")
+    near = written(verified(chunked.unionByName(pivots)), "ngram-pivot-links")
+
+    part = components(near)
+    parts = large.drop("text").join(part.select(F.col("node").alias("k"), F.col("root").alias("p")), F.col("sid") == F.col("k"), "left")
+    parts = written(parts.select("sid", "root", F.coalesce("p", "sid").alias("grp")), "ngram-parts")
+    sizes = parts.groupBy(F.col("root").alias("r"), F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("s"))
+    main = sizes.groupBy("r").agg(F.max_by("g", F.struct("s", "g")).alias("main"), (F.sum("s") - F.max("s")).alias("out"))
+    both = large.join(parts.select(F.col("sid").alias("k"), "grp"), F.col("sid") == F.col("k")).join(main, F.col("root") == F.col("r")).where("out > 0")
+    inner, outer = _tiles_for(F.col("m"), F.col("tokens"), TILE_SETS), _tiles_for(F.col("out"), F.col("out") * mean, OUTLIER_TILE)
+    every = both.withColumn("o", _copies(outer)).select(cell(F.lit(3), "o", _tile_of(3, inner)).alias("cell"), "sid", F.lit(1).alias("side"), "grp", "text")
+    stray = both.where("grp <> main").withColumn("t", _copies(inner))
+    stray = stray.select(cell(F.lit(3), _tile_of(4, outer), "t").alias("cell"), "sid", F.lit(0).alias("side"), "grp", "text")
+    return near.unionByName(written(verified(every.unionByName(stray)), "ngram-outlier-links"))
+
+
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -306,36 +353,26 @@ def ngram_join(
     first = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     candidates = components(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    member = written(
-        candidates.join(first, candidates["node"] == first["sid"]).select("sid", "root", "first_id", "n"),
-        "ngram-members",
-    )
-    cells = member.groupBy(F.col("root").alias("r")).agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_TOKENS)
-        ).cast("int").alias("tiles")
-    )
-    # a document goes to each cell (i, j), i <= j, that its tile is part of
-    placed = (
-        member.join(cells, F.col("root") == F.col("r"))
-        .withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "first_id",
-            "sid",
-            F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"),
-            F.when(F.col("other") == F.col("tile"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    )
-    links = written(
-        # the same plan at every size: `placed` grows with the corpus, so it is never broadcast
-        named.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"))
-        .select("cell", "sid", "side", "text")
-        .repartition(n, "cell")
-        .sortWithinPartitions("cell")
-        .mapInArrow(_cell_task(k, num, den), "a long, b long"),
-        "ngram-links",
+    member = candidates.join(first, candidates["node"] == first["sid"]).select("sid", "root", "first_id", "n")
+    shape = member.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+    shape = shape.withColumn("large", (F.col("m") > CELL_SETS) | (F.col("tokens") > CELL_TOKENS))
+    placed = member.join(shape, F.col("root") == F.col("r")).drop("r")
+    # the same plan at every size: `placed` grows with the corpus, so it is never broadcast
+    texts = written(
+        named.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select("sid", "root", "m", "tokens", "large", "text"),
+        "ngram-texts",
     )
+
+    def verified(cells: DataFrame) -> DataFrame:
+        """cells: cell, sid, side, grp, text."""
+        rows = cells.select("cell", "sid", "side", "grp", "text").repartition(n, "cell").sortWithinPartitions("cell")
+        return rows.mapInArrow(_cell_task(k, num, den), "a long, b long")
+
+    small = texts.where("not large").select(F.col("root").alias("cell"), "sid", F.lit(2).alias("side"), F.col("sid").alias("grp"), "text")
+    links = written(verified(small), "ngram-links")
+    large = texts.where("large")
+    if large.limit(1).count():
+        links = links.unionByName(_large_links(large, verified))
     linked = components(links).join(first, F.col("node") == F.col("sid"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     joined = linked.select("root", F.col("node").alias("k")).join(least, "root").select("k", "component_id")
