@@ -28,6 +28,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node points to one node, which points to none: all are stars."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return seen.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0)))).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node of the component, for every node with an
     edge to another node.  Self-loops and repeated edges change nothing."""
@@ -35,12 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "edges",
     )
-    mark = None
     while True:
         cur = written(_star(_star(cur, True), False), "star")
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == mark:
+        if _settled(cur):
             break
-        mark = tuple(now)
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -302,30 +302,35 @@ def _copies(tiles: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))
 
 
-def _large_links(large: DataFrame, verified) -> DataFrame:
-    """Links of components too large for a cell: by pivots, then by outliers.
+def _first_cells(texts: DataFrame) -> DataFrame:
+    """Cells (cell, sid, side, grp, text): whole small components; of large ones,
+    chunks and in each of them the component's pivots.
 
-    large: sid, root, m, tokens, large, text."""
-    mean = F.col("tokens") / F.col("m")
-    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(4), F.floor(PIVOT_TOKENS / mean)))
+    texts: sid, root, m, tokens, large, text."""
+    whole = texts.where("not large").select(F.col("root").alias("cell"), "sid", F.lit(2).alias("side"), F.col("sid").alias("grp"), "text")
+    large = texts.where("large")
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(4), F.floor(PIVOT_TOKENS * F.col("m") / F.col("tokens"))))
     chunks = _tiles_for(F.col("m"), F.col("tokens"), CHUNK_SETS)
-    cell = lambda *parts: F.xxhash64("root", *parts)
-    chunked = large.select(cell(_tile_of(1, chunks)).alias("cell"), "sid", F.lit(1).alias("side"), F.col("sid").alias("grp"), "text")
+    chunked = large.select(F.xxhash64("root", _tile_of(1, chunks)).alias("cell"), "sid", F.lit(1).alias("side"), F.col("sid").alias("grp"), "text")
     pivots = large.where(_tile_of(2, F.ceil(F.col("m") / wanted)) == 0).withColumn("c", _copies(chunks))
-    pivots = pivots.select(cell("c").alias("cell"), "sid", F.lit(0).alias("side"), F.col("sid").alias("grp"), "text")
-    near = written(verified(chunked.unionByName(pivots)), "ngram-pivot-links")
+    pivots = pivots.select(F.xxhash64("root", "c").alias("cell"), "sid", F.lit(0).alias("side"), F.col("sid").alias("grp"), "text")
+    return whole.unionByName(chunked).unionByName(pivots)
+
 
-    part = components(near)
-    parts = large.drop("text").join(part.select(F.col("node").alias("k"), F.col("root").alias("p")), F.col("sid") == F.col("k"), "left")
+def _outlier_cells(texts: DataFrame, part: DataFrame) -> DataFrame:
+    """Cells of what the pivots left outside the largest part of a large
+    component, against all of it.  part: node, root, by the links so far."""
+    large = texts.where("large")
+    parts = large.select("sid", "root").join(part.select(F.col("node").alias("k"), F.col("root").alias("p")), F.col("sid") == F.col("k"), "left")
     parts = written(parts.select("sid", "root", F.coalesce("p", "sid").alias("grp")), "ngram-parts")
     sizes = parts.groupBy(F.col("root").alias("r"), F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("s"))
     main = sizes.groupBy("r").agg(F.max_by("g", F.struct("s", "g")).alias("main"), (F.sum("s") - F.max("s")).alias("out"))
     both = large.join(parts.select(F.col("sid").alias("k"), "grp"), F.col("sid") == F.col("k")).join(main, F.col("root") == F.col("r")).where("out > 0")
-    inner, outer = _tiles_for(F.col("m"), F.col("tokens"), TILE_SETS), _tiles_for(F.col("out"), F.col("out") * mean, OUTLIER_TILE)
-    every = both.withColumn("o", _copies(outer)).select(cell(F.lit(3), "o", _tile_of(3, inner)).alias("cell"), "sid", F.lit(1).alias("side"), "grp", "text")
+    inner = _tiles_for(F.col("m"), F.col("tokens"), TILE_SETS)
+    outer = _tiles_for(F.col("out"), F.col("out") * F.col("tokens") / F.col("m"), OUTLIER_TILE)
+    every = both.withColumn("o", _copies(outer)).select(F.xxhash64("root", "o", _tile_of(3, inner)).alias("cell"), "sid", F.lit(1).alias("side"), "grp", "text")
     stray = both.where("grp <> main").withColumn("t", _copies(inner))
-    stray = stray.select(cell(F.lit(3), _tile_of(4, outer), "t").alias("cell"), "sid", F.lit(0).alias("side"), "grp", "text")
-    return near.unionByName(written(verified(every.unionByName(stray)), "ngram-outlier-links"))
+    return every.unionByName(stray.select(F.xxhash64("root", _tile_of(4, outer), "t").alias("cell"), "sid", F.lit(0).alias("side"), "grp", "text"))
 
 
 def ngram_join(
@@ -368,12 +373,14 @@ def ngram_join(
         rows = cells.select("cell", "sid", "side", "grp", "text").repartition(n, "cell").sortWithinPartitions("cell")
         return rows.mapInArrow(_cell_task(k, num, den), "a long, b long")
 
-    small = texts.where("not large").select(F.col("root").alias("cell"), "sid", F.lit(2).alias("side"), F.col("sid").alias("grp"), "text")
-    links = written(verified(small), "ngram-links")
-    large = texts.where("large")
-    if large.limit(1).count():
-        links = links.unionByName(_large_links(large, verified))
-    linked = components(links).join(first, F.col("node") == F.col("sid"))
+    found_links = written(verified(_first_cells(texts)), "ngram-links")
+    part = components(found_links)
+    if texts.where("large").limit(1).count():
+        more = written(verified(_outlier_cells(texts, part)), "ngram-outlier-links")
+        if more.limit(1).count():
+            stars = part.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            part = components(stars.unionByName(more))
+    linked = part.join(first, F.col("node") == F.col("sid"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     joined = linked.select("root", F.col("node").alias("k")).join(least, "root").select("k", "component_id")
     alone = first.join(joined, F.col("sid") == F.col("k"), "left").select(
