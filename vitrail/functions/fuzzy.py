@@ -66,12 +66,12 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, best = len(a), 0.0
-    for end in range(1, len(b) + n):
-        best = max(best, ratio(a, b[max(0, end - n) : end]))
-        if best == 100.0:
-            break
-    return best
+
+    def slide(a: str, b: str) -> float:
+        n = len(a)
+        return max(ratio(a, b[max(0, end - n) : end]) for end in range(1, len(b) + n))
+
+    return slide(a, b) if len(a) < len(b) else max(slide(a, b), slide(b, a))
 
 
 def extract_one(query: str, choices: list[str], scorer: Callable[[str, str], float], cutoff: float) -> tuple[int, float] | None:

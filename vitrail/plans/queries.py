@@ -429,19 +429,37 @@ def joined_items_split(spark, sf_dir):
     return df.select("id", F.explode(entities.split_joined(F.col("v"), F.col("a"))).alias("p")).select("id", "p.*")
 
 
-@query()
+DOSED = [(1, "OGAST 1 gél/j en permanence.", 5), (2, "RAMIPRIL 5 mg matin et soir", 8), (3, "HTA sévère", 3), (4, "X" + " matin" * 20, 1)]
+
+
+@query(rf"""SELECT id, CAST(fin + least(60, length(regexp_extract(substr(t, fin + 1, 120), '{entities.POSOLOGY.replace("(?iuU)", "(?i)")}'))) AS INT) AS fin
+    FROM {values(DOSED, "id, t, fin")}""")
 def posology_extension(spark, sf_dir):
-    rows = [(1, "OGAST 1 gél/j en permanence.", 5), (2, "RAMIPRIL 5 mg matin et soir", 8), (3, "HTA sévère", 3)]
-    df = spark.createDataFrame(rows, "id int, t string, fin int")
+    df = spark.createDataFrame(DOSED, "id int, t string, fin int")
     return df.select("id", entities.extended_end(F.col("t"), F.col("fin")).alias("fin"))
 
 
 # --- sections, codes, fuzzy, dedup: fixture-checked in tests --------------------
 
 
-@query()
+ZONED = [
+    ("a", "ANTÉCÉDENTS : HTA\nAllergies: Pénicilline\nTRAITEMENTS EN COURS\nRamipril 5 mg\nCONCLUSION : stable\nreste"), ("b", "rien"),
+    ("c", "Motif : toux\n  Facteurs de risque : tabac\nVaccins : grippe"), ("d", "POINTS DE VIGILANCE : chute\nOBSERVATIONS\nANTÉCÉDENT : asthme"),
+]
+_HEADS = [*((k, rf"(?im)^\s*(?:{v})\s*:?\s*") for k, v in sections.HEADINGS.items()), ("", r"(?im)^\s*(?:CONCLUSIONS?|OBSERVATIONS?)\b")]
+_MARKS = " UNION ALL ".join(
+    f"SELECT id, t, {i} AS rank, '{k}' AS section, unnest(range(1, len(regexp_extract_all(t, '{rx}')) + 1)) AS i, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS p FROM v"
+    for i, (k, rx) in enumerate(_HEADS)
+)
+
+
+@query(f"""WITH v AS (SELECT * FROM {values(ZONED, "id, t")}), x AS ({_MARKS}), y AS (SELECT id, t, rank, section, list_sum(list_transform(p[1:i], lambda z: length(z)))
+        + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS pos, length(m[i]) AS n FROM x),
+    b AS (SELECT *, row_number() OVER (PARTITION BY id, pos ORDER BY rank) AS k FROM y), z AS (SELECT id, t, section, CAST(pos + n AS INT) AS debut,
+        CAST(coalesce(lead(pos) OVER (PARTITION BY id ORDER BY pos), length(t)) AS INT) AS fin FROM b WHERE k = 1)
+    SELECT id AS document_id, section, debut, fin, substr(t, debut + 1, fin - debut) AS texte FROM z WHERE section <> ''""")
 def section_zones(spark, sf_dir):
-    return sections.section_zones(synthetic_cases(spark))
+    return sections.section_zones(spark.createDataFrame(ZONED, "document_id string, text string"))
 
 
 @query()
