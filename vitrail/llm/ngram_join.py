@@ -44,9 +44,9 @@ TILE = 1 << 19
 FLUSH = 1_500_000
 GROUPS = 128
 FANOUT = 16
-CELL_SETS, CELL_TOKENS = 256, 2_000_000  # of a component that is one cell
-CHUNK_SETS, PIVOTS, PIVOT_TOKENS = 192, 48, 1_000_000  # of a larger one
-OUTLIER_TILE, TILE_SETS = 96, 192
+CELL_SETS, CELL_TOKENS = 4096, 2_000_000  # of a component that is one cell
+CHUNK_SETS, PIVOTS, PIVOT_TOKENS = 1024, 48, 1_000_000  # of a larger one
+OUTLIER_TILE, TILE_SETS = 256, 1024
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
