@@ -338,3 +338,33 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(ev.schema).parquet(f"{src}2")
     front.audited(stream, f"{out}2", f"{ck}2").awaitTermination()
     assert front.audit_is_valid(spark, f"{out}2") and spark.read.parquet(f"{out}2").count() == 5
+
+
+def test_pages_to_summary(spark):
+    from vitrail.operators import chain
+
+    body = [
+        "Cabinet du Sommeil\nMOTIF : Gastrite chronique\nTRAITEMENTS EN COURS : OGAST 1 gél/j en permanence.",
+        "Cabinet du Sommeil\nAntibiogramme : amoxicilline résistant",
+        "Cabinet du Sommeil\nGastrite chronique connue\nFacteurs de risque : Tabagisme actif",
+        "Cabinet du Sommeil\nAbsence de lésion polypoïde",
+    ]
+    p = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(body)], "document_id string, page int, text string")
+    terms = {"Gastrite chronique": "problem", "OGAST": "treatment", "amoxicilline": "treatment", "Tabagisme actif": "problem", "lésion polypoïde": "problem", "Sommeil": "problem"}
+
+    def provider():
+        import re
+
+        return lambda t: [(lab, m.start(), m.end(), 0.9) for w, lab in terms.items() for m in re.finditer(w, t)]
+
+    out = chain.summarize(p, chain.Options(engine="drbert"), provider)
+    got = {(r.section, r.valeur): r for r in out["fields"].collect()}
+    assert set(got) == {("pathologies_actives", "Gastrite chronique"), ("traitements_long_cours", "OGAST 1 gél/j en permanence"), ("facteurs_risque", "Tabagisme actif")}
+    assert got["pathologies_actives", "Gastrite chronique"].pages == [1, 3]
+    rules = {r.valeur: r.regle for r in out["rejects"].collect()}
+    assert rules["amoxicilline"] == "P1_page_non_prescriptive" and rules["lésion polypoïde"] == "N1_entite_niee"
+    assert [r.page for r in out["rejected_pages"].collect()] == [2] and assemble.violations(out["vsm"]).count() == 0
+    plain = chain.summarize(p)
+    assert plain["vsm"].count() == 1 and "# Volet" in assemble.markdown(plain["vsm"]).first().markdown
+    with pytest.raises(ValueError):
+        chain.summarize(p, chain.Options(engine="ner"))
