@@ -539,11 +539,35 @@ def fuzzy_scores(spark, sf_dir):
 # --- validation -------------------------------------------------------------
 
 
+#: One section of each kind that the rules tell apart.
+RULE_SECTIONS = ("points_vigilance", "pathologies_actives", "traitements_long_cours")
+CUES = r"(?iuU)(?:" + "|".join(x.removeprefix("(?iuU)") for x in (context.NEGATED, context.FAMILY, context.HYPOTHETICAL, context.WEAKLY_NEGATED)) + r")\s*(?:(?:de|du|des)\s+|d['’]\s*)?"
+
+
+def _item_rows(d: DataFrame) -> DataFrame:
+    """The items of every document (document_id, text), each its own passage, at their offsets."""
+    d = d.withColumn("text_norm", X.normalize(F.col("text")))  # below the explode: once per document
+    it = d.select("document_id", "text", "text_norm", F.explode(sections.item_spans(F.col("text"))).alias("i"))
+    return it.select("document_id", "text", "text_norm", F.col("i.value").alias("valeur"), F.col("i.value").alias("passage"), F.col("i.start").alias("offset_debut"))
+
+
+def _after_cues(items: DataFrame) -> DataFrame:
+    """What follows each context cue of an item, at its offset: an item starts after a
+    sentence end, so only what stands inside one has words to its left."""
+    m = items.select("*", F.explode(spans.regex_spans(F.col("passage"), CUES)).alias("m"))
+    m = m.withColumn("valeur", spans.sub(F.col("passage"), F.col("m.end"), F.length("passage")))
+    return m.where(F.length("valeur") >= 3).withColumn("offset_debut", F.col("offset_debut") + F.col("m.end")).drop("m")
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     """The items of every document as candidates for points_vigilance."""
-    d = docs(spark, sf_dir).withColumn("text_norm", X.normalize(F.col("text")))  # below the explode: once per document
-    it = d.select("document_id", "text", "text_norm", F.posexplode(X.items(F.col("text"))).alias("ord", "valeur"))
-    return it.withColumn("passage", F.left("valeur", F.lit(100))).withColumn("section", F.lit("points_vigilance")).withColumn("offset_debut", F.lit(0))
+    return _item_rows(docs(spark, sf_dir)).withColumn("section", F.lit("points_vigilance"))
+
+
+def _all_candidates(d: DataFrame) -> DataFrame:
+    """Items and what follows their cues, as candidates for a section of each kind."""
+    it = _item_rows(d)
+    return it.unionByName(_after_cues(it)).withColumn("section", F.explode(F.array(*map(F.lit, RULE_SECTIONS))))
 
 
 ITEMS_SQL = r"""SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.;])\s+', '\1' || chr(10), 'g'), '\n'),
@@ -569,7 +593,7 @@ def kept_plus_rejected(spark, sf_dir):
 
 @query()
 def reject_histogram(spark, sf_dir):
-    return validate.reject_histogram(validate.validate(_candidates(spark, sf_dir))[1])
+    return validate.reject_histogram(validate.validate(_all_candidates(docs(spark, sf_dir)))[1])
 
 
 @query()
