@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm.scratch import written
-from vitrail.llm.tokens import default_path, encode
+from vitrail.llm.tokens import default_path, encode_with_added
 
 CAPACITY = 2048
 NEARLY_FULL = 2040
@@ -101,7 +101,7 @@ def _leaf_task(path: str, capacity: int, near: int, end_id: int):
         rows, count = [], 0
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(path, t.as_py() or "")
+                ids = encode_with_added(path, t.as_py() or "")
                 d = _NO_ID if d is None else d
                 rows += [(d, *p) for p in pieces(ids, capacity, end_id)]
             if len(rows) >= NODE_ITEMS:

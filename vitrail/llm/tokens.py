@@ -63,3 +63,24 @@ def encode_words(path: str, text: str) -> np.ndarray:
     one = encoding(path)._encode_single_piece
     ids = [i for w in regex.findall(public_tokenizers.PATTERN, text) for i in one(w.encode())]
     return np.array(ids, np.uint32)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encode_with_added(path: str, text: str) -> np.ndarray:
+    """Ids as `tokenizers` gives them without special tokens: it still finds the
+    file's added tokens in a text, so texts with one are left to it."""
+    if any(t in text for t in _added(path)):
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    return encode(path, text)
