@@ -24,3 +24,11 @@ def test_candidates_stand_at_their_offsets_in_every_kind_of_section(spark):
     }
     assert {r.section for r in kept.where("valeur = 'mort subite'").collect()} == {"facteurs_risque"}
     assert c.where("length(passage) > 100").count() >= 3
+
+
+def test_augment_drops_the_keys_that_any_order_has(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (500, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 3), (8, 4), (9, 5)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = lambda q: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
+    assert rows(Q.augment_all_orders) == [(-1, 7), (-1, 8), (5, 9)]
+    assert rows(Q.augment_missing) == [(-1, 7), (5, 9)]

@@ -800,7 +800,15 @@ def identity_fields(spark, sf_dir):
 
 @query("SELECT c_nationkey, c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) UNION ALL SELECT -1, o_custkey FROM orders WHERE o_orderkey < 100")
 def augment_missing(spark, sf_dir):
-    base = table(spark, sf_dir, "orders").where("o_orderkey < 100").select(F.lit(-1).alias("c_nationkey"), F.col("o_custkey").alias("c_custkey"))
-    full = table(spark, sf_dir, "orders").select(F.lit(-1).alias("c_nationkey"), F.col("o_custkey").alias("c_custkey"))
-    extra = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").join(full.select("c_custkey").distinct(), "c_custkey", "left_anti")
-    return entities.augment(base, extra.select("c_nationkey", "c_custkey"), keys=("c_nationkey", "c_custkey"))
+    """All orders and the customers without any; the SQL shows a few of the orders."""
+    return _augmented(spark, sf_dir).where("o_orderkey is null or o_orderkey < 100").drop("o_orderkey")
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) UNION ALL SELECT -1, o_custkey FROM orders")
+def augment_all_orders(spark, sf_dir):
+    return _augmented(spark, sf_dir).drop("o_orderkey")
+
+
+def _augmented(spark, sf_dir) -> DataFrame:
+    base = table(spark, sf_dir, "orders").select(F.lit(-1).alias("c_nationkey"), F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return entities.augment(base, table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), keys=("c_custkey",))
