@@ -32,3 +32,8 @@ def test_augment_drops_the_keys_that_any_order_has(spark, tmp_path):
     rows = lambda q: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
     assert rows(Q.augment_all_orders) == [(-1, 7), (-1, 8), (5, 9)]
     assert rows(Q.augment_missing) == [(-1, 7), (5, 9)]
+
+
+def test_strip_trailing_reads_the_end_of_long_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 80 + " .;")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n for r in Q.strip_trailing_whole(spark, str(tmp_path)).collect()] == [80]

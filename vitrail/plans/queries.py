@@ -154,6 +154,13 @@ def strip_trailing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_trailing(F.left("text", F.lit(60))).alias("t"))
 
 
+@query("SELECT doc_id, length(t) AS n, sha256(t) AS t_sha256 FROM (SELECT doc_id, rtrim(text, ' .,;:') AS t FROM documents)")
+def strip_trailing_whole(spark, sf_dir):
+    """The whole text, where `strip_trailing` and its SQL take 60 characters."""
+    t = table(spark, sf_dir, "documents").select("doc_id", X.strip_trailing(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2(F.encode("t", "UTF-8"), 256).alias("t_sha256"))
+
+
 @query(r"""SELECT event_id, regexp_replace(regexp_replace('user ' || lpad(CAST(user_id AS VARCHAR), 9, '1') || ' tel 0612345678 at u' || user_id || '@mail.example.fr',
     '\b0[1-9](?:[\s.\-]?\d{2}){4}\b', '[TEL]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g') AS raw FROM events""".replace(
     "SELECT event_id, ", "SELECT event_id, regexp_replace(").replace(" AS raw FROM", r", '\b\d{9}\b', '[NUM9]', 'g') AS line FROM"))
