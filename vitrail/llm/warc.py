@@ -190,7 +190,8 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")
     ).where("page_id is not null")
     digest = F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    digests = base.select("page_id", digest.alias("digest"))
+    base = base.withColumn("digest", digest)
+    digests = base.select("page_id", "digest")
     # one row per payload that more than one page has; the least page is its response
     shared = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     shared = shared.where("first <> last").select(F.hex("digest").alias("d"), "first")
@@ -198,10 +199,11 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         digests.select("page_id", F.hex("digest").alias("digest"))
         .join(shared, F.col("digest") == F.col("d"))
         .where("page_id <> first")
-        .groupBy(F.col("page_id").alias("p"))
+        .groupBy(F.col("page_id").alias("p"), F.unhex("digest").alias("d"))
         .agg(F.min("first").alias("refers_to"))
     )
-    marked = base.join(revisits, F.col("page_id") == F.col("p"), "left").select("page_id", "url", "html", "refers_to")
+    same = (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d"))  # an id may have several payloads
+    marked = base.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
     return written(marked.mapInArrow(_write_task, _BUNDLES), "warc-bundles")
 
 
