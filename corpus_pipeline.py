@@ -29,9 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
-    copies = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(copies, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of equal texts, the document with the largest doc_id stays, once."""
+    copies = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_copy"))
+    told = docs.withColumn("_sha", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    left = told.join(copies, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_copy")), "left_anti")
+    return left.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
