@@ -37,3 +37,10 @@ def test_augment_drops_the_keys_that_any_order_has(spark, tmp_path):
 def test_strip_trailing_reads_the_end_of_long_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 80 + " .;")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.n for r in Q.strip_trailing_whole(spark, str(tmp_path)).collect()] == [80]
+
+
+def test_context_of_a_whole_table(spark, tmp_path):
+    rows = [(1, "Mot. Absence de fièvre"), (2, "suspicion de phlébite"), (3, "antécédents familiaux de goutte"), (4, "rien ici")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.verdict: r.n for r in Q.context_after_cues(spark, str(tmp_path)).collect()}
+    assert got == {"niee": 1, "hypothetique": 1, "familial": 1}

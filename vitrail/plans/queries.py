@@ -598,6 +598,14 @@ def kept_plus_rejected(spark, sf_dir):
     return total.join(both.agg(F.count(F.lit(1)).alias("gardes_et_rejetes")), F.lit(True))  # one row each
 
 
+@query()
+def context_after_cues(spark, sf_dir):
+    """Verdicts on what follows each context cue of the documents' items, at its offset."""
+    after = _after_cues(_item_rows(docs(spark, sf_dir)))
+    v = context.verdict(context.qualify(F.col("text"), F.col("offset_debut")))
+    return after.select(v.alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def reject_histogram(spark, sf_dir):
     return validate.reject_histogram(validate.validate(_all_candidates(docs(spark, sf_dir)))[1])
