@@ -60,7 +60,7 @@ def test_native_codec_round_trip(make, reference):
 
 def test_codec_ids_and_digests(make, reference):
     df = make([(i, t, "clash", 1) for i, t in enumerate(ODD)] + [(None, "x", "", 0), (3, ODD[3], "", 0)], DDL)
-    full = {r.doc_id: r for r in codec.bpe_codec(df, dictionary_words=50, cache_words=5).collect()}
+    full = {r.doc_id: r for r in codec.bpe_codec(df, chunk_bytes=500).collect()}
     short = {r.doc_id: r for r in codec.bpe_codec(df, digests=True).collect()}
     for i, t in enumerate(ODD):
         ids = reference(t or "")
@@ -114,3 +114,22 @@ def test_packing_stops_narrowing_at_the_node_bound(make, monkeypatch):
     rows = [(i, "x " * 700, "", 0) for i in range(60)]
     out = pack_documents(make(rows, DDL).repartition(12))
     assert out.count() == 60 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_long_words_and_whole_corpus_equal_tiktoken(spark, sf_dir, make, reference):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    long = ["".join(r.choice(letters) for _ in range(2_000)), "漢字かな" * 700, "=" * 5_000, "ab" * 2_500, "й" * 1_001, "\0" * 70]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(make([(-1 - i, t) for i, t in enumerate(long)], "doc_id long, text string"))
+    want = {d: reference(t or "") for d, t in docs.collect()}
+    got = codec.bpe_codec(docs, digests=True).collect()
+    assert len(got) == len(want)
+    for row in got:
+        ids = want[row.doc_id]
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+
+
+def test_a_vocabulary_that_merges_cannot_make_is_refused():
+    with pytest.raises(ValueError):
+        codec.merges({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})

@@ -85,6 +85,14 @@ def dealt(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[
         yield int(k), pack(*[c[s] for c in columns])
 
 
+def taken(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices data[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return data[:0]
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open ranges as maximal disjoint ones (touching ones join)."""
     if not len(starts):

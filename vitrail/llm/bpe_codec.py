@@ -1,17 +1,24 @@
 """Byte-level BPE encoding and decoding.
 
-The merge loop is a fold of Spark higher-order functions over a word's byte
-array: the state is the pieces (hex strings, so that joining two is string
-concatenation) and the ranks of neighbouring pairs; every step merges the
-pair of least rank and looks up the two pairs it changes.  Ranks come from a literal map in
-the plan, dealt into an array of small maps by crc32, as a Spark map is
-searched entry by entry.
-
-`encode_words` folds a table of distinct words.  `bpe_codec` folds the frequent
-distinct words of the corpus so, as a literal dictionary of bounded size, and
-encodes what else a batch has, each distinct word once, by the same ranks in
-an Arrow function; the README has the figures of the all-JVM form `bpe_native`.
-Decoding concatenates the ids' binary pieces.
+A word's state is a string with one character per piece: a byte is the
+character of its own code point, the token of rank r the character PIECE + r.
+Spark higher-order functions fold the merges over it: each step looks up every
+neighbouring pair in a literal rank map, takes the least rank, and replaces that pair wherever it
+stands, left to right.  (In a vocabulary made by merges, a merge never makes a
+pair of lower rank than its own, so doing all places of a pair at once gives
+what one place at a time would; `merges` checks that the vocabulary is one.)
+
+A word is folded once in the whole corpus, whatever its length and frequency:
+
+1. Texts are cut into words in chunks of bounded size; a chunk is stored as the
+   word numbers of its documents, and its distinct words go, as blobs, to
+   buckets by their hash.
+2. A bucket's task folds its distinct words and answers each chunk with the
+   words' ids.
+3. A chunk's documents are their word numbers looked up in the answers;
+   decoding concatenates the ids' binary pieces.
+
+What shuffles is distinct words per chunk, their ids, and compressed word numbers, no text.
 """
 
 from __future__ import annotations
@@ -23,16 +30,21 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.scratch import written
+from vitrail.llm import arrays as A
+from vitrail.llm.scratch import spread, written
 from vitrail.llm.tokens import default_path
 
-BUCKETS = 1 << 15
-NO_RANK = 1 << 30
-LONG_WORD = 256  # bytes; longer ones are encoded in the Arrow function
+BUCKETS = 1 << 16  # of the rank map
+PIECE = 0x100
+CHUNK_BYTES = 64 << 20
+CUT = 64  # characters; longer words are folded in parts, cut where no merge can cross
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,76 +58,99 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _dealt(entries: dict[str, object]) -> Column:
-    """A literal array of maps; from_json of a literal is folded by the optimiser."""
-    maps: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
-    for k, v in entries.items():
-        maps[zlib.crc32(k.encode()) % BUCKETS][k] = v
-    kind = "int" if all(isinstance(v, int) for v in entries.values()) else "string"
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{kind}>>")
+def merges(ranks: dict[bytes, int]) -> dict[int, tuple[bytes, bytes]]:
+    """The pair that each token of two or more bytes is merged from: what
+    its bytes become under the lower ranks alone."""
+    out = {}
+    for token, own in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            rank, i = min((ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank >= own:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) > 2:
+            raise ValueError(f"{token!r} is not made by merges of lower rank")
+        if len(parts) == 2:
+            out[own] = (parts[0], parts[1])
+    return out
 
 
-def _lookup(maps: Column, key: Column) -> Column:
-    return F.element_at(F.element_at(maps, (F.crc32(key) % BUCKETS + 1).cast("int")), key)
+def _char(code: int) -> str:
+    return chr(code if code < 0xD800 else code + 0x800)  # no surrogates
+
+
+def _piece(token: bytes, ranks: dict[bytes, int]) -> str:
+    return chr(token[0]) if len(token) == 1 else _char(PIECE + ranks[token])
+
+
+@lru_cache(maxsize=2)
+def _rank_json(path: str) -> str:
+    """An array of small maps, as a Spark map is searched entry by entry:
+    a pair's two characters to the merged character and the pair."""
+    ranks = load_ranks(path)
+    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for r, (a, b) in merges(ranks).items():
+        pair = _piece(a, ranks) + _piece(b, ranks)
+        maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = _char(PIECE + r) + pair
+    return json.dumps(maps, separators=(",", ":"), ensure_ascii=False)
 
 
 def rank_map(path: str) -> Column:
-    return _dealt({k.hex(): v for k, v in load_ranks(path).items()})
+    """A literal; from_json of a literal is folded by the optimiser."""
+    return F.from_json(F.lit(_rank_json(path)), "array<map<string,string>>")
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sub(array: Column, start, length) -> Column:
-    return F.slice(array, start, length)
+def fold_word(word: Column, ranks: Column) -> Column:
+    """The pieces (string, a character each) of one word given as binary."""
 
+    def step(state: Column, _: Column) -> Column:
+        s = state["s"]
 
-def fold_word(hexed: Column, ranks: Column) -> Column:
-    """Token ids (array<int>) of one word given as lower-case hex of its bytes."""
-    n = (F.length(hexed) / 2).cast("int")
+        def least(chars: Column) -> Column:
+            def merged(c: Column, i: Column) -> Column:
+                pair = F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit("")))
+                return F.element_at(F.element_at(ranks, (F.crc32(pair) % BUCKETS + 1).cast("int")), pair)
 
-    def rank(pair: Column) -> Column:
-        return F.coalesce(_lookup(ranks, pair), F.lit(NO_RANK))
+            return F.array_min(F.transform(chars, merged))
 
-    def merge(s: Column, i: Column) -> Column:
-        p, r = s["p"], s["r"]
+        def replaced(m: Column) -> Column:
+            ended = F.struct(s.alias("s"), F.lit(True).alias("done"))
+            changed = F.replace(s, F.substring(m, 2, 2), F.substring(m, 1, 1))
+            return F.when(m.isNull(), ended).otherwise(F.struct(changed.alias("s"), F.lit(False).alias("done")))
 
-        def with_piece(t: Column) -> Column:
-            none = F.array().cast("array<int>")
-            before = F.when(i > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(i - 1, F.lit(1))), t)))).otherwise(none)
-            after = F.when(i < F.size(r), F.array(rank(F.concat(t, F.element_at(p, F.least(i + 2, F.size(p))))))).otherwise(none)
-            return F.struct(
-                F.concat(_sub(p, 1, i - 1), F.array(t), _sub(p, i + 2, F.size(p))).alias("p"),
-                F.concat(_sub(r, 1, F.greatest(i - 2, F.lit(0))), before, after, _sub(r, i + 2, F.size(p))).alias("r"),
-            )
+        return F.when(state["done"], state).otherwise(_let(_let(F.split(s, ""), least), replaced))
 
-        return _let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), with_piece)
+    start = F.decode(word, "ISO-8859-1")
+    n = F.length(word)
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda state: state["s"])
 
-    def step(s: Column, _: Column) -> Column:
-        least = F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK))
-        return F.when(least >= NO_RANK, s).otherwise(
-            _let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda i: merge(s, i))
-        )
 
-    bytes_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("substring", hexed, i * 2 + 1, F.lit(2)))
-    pairs = F.when(
-        n > 1,
-        F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.call_function("substring", hexed, i * 2 + 1, F.lit(4)))),
-    ).otherwise(F.array().cast("array<int>"))
-    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(
-        steps, F.struct(bytes_.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], lambda x: _lookup(ranks, x))
-    )
-    whole = _lookup(ranks, hexed)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+def _byte_ranks(path: str) -> list[int]:
+    ranks = load_ranks(path)
+    return [ranks[bytes([b])] for b in range(256)]
+
+
+def _ids_of(pieces: Column, of_byte: Column) -> Column:
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        code = F.when(code < 0xD800, code).otherwise(code - 0x800)
+        return F.when(code < PIECE, F.element_at(of_byte, code + 1)).otherwise(code - PIECE).cast("int")
+
+    return F.when(F.length(pieces) > 0, F.transform(F.split(pieces, ""), one)).otherwise(F.array().cast("array<int>"))
 
 
 def encode_words(words: DataFrame, word_col: str, path: str) -> DataFrame:
     """`words` with ids array<int>, by the fold."""
-    hexed = F.lower(F.hex(F.encode(F.col(word_col), "UTF-8")))
+    of_byte = F.array(*map(F.lit, _byte_ranks(path)))
     # bound to a variable, the literal is in the plan once
-    return words.withColumn("ids", _let(rank_map(path), lambda ranks: fold_word(hexed, ranks)))
+    folded = _let(rank_map(path), lambda ranks: fold_word(F.encode(F.col(word_col), "UTF-8"), ranks))
+    return words.withColumn("_pieces", folded).withColumn("ids", _let(of_byte, lambda t: _ids_of(F.col("_pieces"), t))).drop("_pieces")
 
 
 def words_of(text: Column) -> Column:
@@ -130,13 +165,14 @@ def native_ids(text: Column, path: str) -> Column:
     def of_words(w: Column, ranks: Column) -> Column:
         def of_distinct(d: Column) -> Column:
             def gather(e: Column) -> Column:
-                return F.flatten(F.transform(w, lambda x: F.element_at(e, F.array_position(d, x).cast("int"))))
+                return F.array_join(F.transform(w, lambda x: F.element_at(e, F.array_position(d, x).cast("int"))), "")
 
-            return _let(F.transform(d, lambda x: fold_word(F.lower(F.hex(F.encode(x, "UTF-8"))), ranks)), gather)
+            return _let(F.transform(d, lambda x: fold_word(F.encode(x, "UTF-8"), ranks)), gather)
 
         return _let(F.array_distinct(w), of_distinct)
 
-    return _let(rank_map(path), lambda ranks: _let(words, lambda w: of_words(w, ranks)))
+    pieces = _let(rank_map(path), lambda ranks: _let(words, lambda w: of_words(w, ranks)))
+    return _let(F.array(*map(F.lit, _byte_ranks(path))), lambda t: _let(pieces, lambda p: _ids_of(p, t)))
 
 
 def native_bytes(ids: Column, path: str) -> Column:
@@ -153,29 +189,234 @@ def bpe_native(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("decoded", native_bytes(F.col("ids"), path))
 
 
-@lru_cache(maxsize=2)
-def _codec(path: str):
-    import regex
-    import tiktoken
+def _joined(path: str) -> np.ndarray:
+    """joined[a, b]: some token has byte b after byte a, so a merge can cross there."""
+    out = np.zeros((256, 256), bool)
+    for token in load_ranks(path):
+        out[list(token[:-1]), list(token[1:])] = True
+    return out
+
+
+def _parts(word: bytes, joined: np.ndarray) -> list[bytes]:
+    """A word cut where no token has the two neighbouring bytes: its ids are its parts' ids."""
+    x = np.frombuffer(word, np.uint8)
+    cuts = np.flatnonzero(~joined[x[:-1], x[1:]]) + 1
+    return [word[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)])]
+
+
+def _strings(items: list[bytes]) -> bytes:
+    sizes = np.array([len(x) for x in items], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(items).to_bytes(4, "little") + sizes + b"".join(items))
+
+
+def _unstrings(blob: bytes) -> pa.Array:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.r_[0, np.cumsum(np.frombuffer(raw, "<u4", n, 4))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[4 + 4 * n :])])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    flat = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(flat)
+
+
+def _unplanes(blob: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+#: kind 0: a chunk's documents (doc_id, is null, number of codes), codes, and the bucket of
+#: each distinct word; kind 1: the chunk's words of one bucket, by code.
+_CHUNKS = "chunk long, bucket int, kind int, docs binary, codes binary, words binary"
 
-    ranks = load_ranks(path)
-    one = tiktoken.Encoding("byte_bpe", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    return regex.compile(pattern()).findall, one, [b for b, _ in sorted(ranks.items(), key=lambda x: x[1])]
 
+class _Codes(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
-def frequent_words(docs: DataFrame, text_col: str, path: str, words: int, sample_rows: int) -> dict[str, bytes]:
-    """Ids (little-endian unsigned 32-bit) of the most frequent words of a bounded
-    sample, by the fold.  It only saves work: any dictionary gives the same ids."""
-    n = docs.count()
-    if not n:
-        return {}
-    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) < min(1.0, sample_rows / n) * 1_000_003)
-    counts = part.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").count()
-    top = counts.where(F.length(F.encode("word", "UTF-8")) <= LONG_WORD).orderBy(F.desc("count"), "word").limit(words)
-    encoded = written(encode_words(top.select("word").repartition(8, "word"), "word", path), "bpe-words")
-    import numpy as np
 
-    return {w: np.array(ids, "<u4").tobytes() for w, ids in encoded.collect()}
+def _chunk_task(path: str, n_buckets: int, chunk_bytes: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, joined = regex.compile(pattern()).findall, _joined(path)
+        chunk = TaskContext.get().partitionId() << 32
+
+        def done(number: int, docs: list, found: list[np.ndarray], code_of: _Codes) -> pa.RecordBatch:
+            words = [w if isinstance(w, bytes) else w.encode() for w in code_of]
+            row = np.array([(0 if d is None else d, d is None, len(x)) for d, x in zip(docs, found)], np.int64)
+            bucket = np.array([zlib.crc32(w) % n_buckets for w in words], "<u4")
+            rows = [(number, -1, 0, A.pack(*row.T), _planes(np.concatenate(found)), _planes(bucket))]
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                rows.append((number, b, 1, None, None, _strings([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _CHUNKS.split(", ")])
+
+        docs, found, code_of, size = [], [], _Codes(), 0
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = t.as_py() or ""
+                words = find(text)
+                if max(map(len, words), default=0) > CUT:
+                    words = [p for w in words for p in (_parts(w.encode(), joined) if len(w) > CUT else (w,))]
+                docs.append(d)
+                found.append(np.array(list(map(code_of.__getitem__, words)), "<u4"))
+                size += len(text) + 64
+                if size >= chunk_bytes:
+                    yield done(chunk, docs, found, code_of)
+                    chunk += 1
+                    docs, found, code_of, size = [], [], _Codes(), 0
+        if docs:
+            yield done(chunk, docs, found, code_of)
+
+    return task
+
+
+#: kind 0: a distinct word of a bucket; kind 1: a chunk's words of the bucket, as numbers among those.
+_ASKED = "bucket int, kind int, chunk long, word binary, numbers binary"
+
+
+def _distinct_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each bucket, then what its chunks asked for."""
+
+    def settle(bucket: int, asked: list[tuple[int, pa.Array]]) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([w for _, w in asked]).dictionary_encode()
+        words, number, at = coded.dictionary, coded.indices.to_numpy().astype("<u4"), 0
+        empty = lambda n, kind: pa.nulls(n, kind)
+        for s in range(0, len(words), 5_000):
+            w = words[s : s + 5_000]
+            n = len(w)
+            yield pa.record_batch([pa.array([bucket] * n, pa.int32()), pa.array([0] * n, pa.int32()), empty(n, pa.int64()), w, empty(n, pa.binary())], names=names)
+        chunks, numbers = [], []
+        for chunk, w in asked:
+            chunks.append(chunk)
+            numbers.append(_planes(number[at : at + len(w)]))
+            at += len(w)
+        n = len(chunks)
+        yield pa.record_batch(
+            [pa.array([bucket] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(chunks, pa.int64()), empty(n, pa.binary()), pa.array(numbers, pa.binary())],
+            names=names,
+        )
+
+    names = [x.split()[0] for x in _ASKED.split(", ")]
+    now, asked = None, []
+    for batch in batches:
+        for b, c, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if b != now and asked:
+                yield from settle(now, asked)
+                asked = []
+            now = b
+            asked.append((c, _unstrings(w)))
+    if asked:
+        yield from settle(now, asked)
+
+
+def _answer_task(path: str):
+    """Rows (chunk, bucket, sizes, ids) of folded buckets: the ids of the chunk's words."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_byte = np.array(_byte_ranks(path), np.uint32)
+        now, codes, sizes, ready = None, [], [], None
+        for batch in batches:
+            kinds, buckets = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            # rows come by bucket, words first, whatever the cut into batches
+            cuts = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (buckets[1:] != buckets[:-1])])
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kinds)]):
+                if buckets[s] != now:
+                    now, codes, sizes, ready = buckets[s], [], [], None
+                if kinds[s] == 0:
+                    data, off = A.utf8(batch.column(3)[s:e])
+                    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+                    first = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+                    sizes.append(np.diff(first[off]))
+                    code = np.where(code < 0xD800, code, code - 0x800)
+                    codes.append(np.where(code < PIECE, of_byte[np.minimum(code, 255)], code - PIECE).astype("<u4"))
+                    continue
+                if ready is None:
+                    n = np.concatenate(sizes)
+                    ready = np.concatenate(codes), np.r_[0, np.cumsum(n)], n
+                ids, start, n = ready
+                rows = []
+                for chunk, numbers in zip(batch.column(2)[s:e].to_pylist(), batch.column(4)[s:e].to_pylist()):
+                    k = _unplanes(numbers, "<u4")
+                    rows.append((chunk, int(now), _planes(n[k].astype("<u4")), _planes(A.taken(ids, start[k], n[k]))))
+                columns = list(zip(*rows))
+                yield pa.record_batch(
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                    names=["chunk", "bucket", "sizes", "ids"],
+                )
+
+    return task
+
+
+def _document_task(path: str, digests: bool):
+    """The documents of each chunk, from its codes and its answers."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b for b, _ in sorted(load_ranks(path).items(), key=lambda x: x[1])]
+        plen = np.array([len(p) for p in pieces])
+        pdata, pstart = np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum(plen)[:-1]]
+
+        def out(rows) -> pa.RecordBatch:
+            doc, null, count, ids, plain = zip(*rows)
+            mask = np.array(null, bool)
+            columns = [pa.array(np.array(doc, np.int64), pa.int64(), mask=mask)]
+            if digests:
+                columns += [pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
+            else:
+                columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(plain, pa.binary())]
+            return pa.record_batch(columns, names=names)
+
+        def documents(docs: bytes, codes: bytes, buckets: bytes, answers: list[tuple[int, bytes, bytes]]):
+            doc, null, number = A.unpack(docs, 3)
+            code = _unplanes(codes, "<u4")
+            order = np.argsort(_unplanes(buckets, "<u4"), kind="stable")
+            answers.sort(key=lambda a: a[0])
+            none = np.zeros(0, np.uint32)
+            given = np.concatenate([none] + [_unplanes(a[1], "<u4") for a in answers]).astype(np.int64)
+            ids = np.concatenate([none] + [_unplanes(a[2], "<u4") for a in answers])
+            if len(given) != len(order):
+                raise ValueError("a chunk lacks answers")
+            start, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            start[order], size[order] = np.cumsum(given) - given, given
+            rows, held, at = [], 0, 0
+            for d, z, n in zip(doc.tolist(), null.tolist(), number.tolist()):
+                c = code[at : at + n]
+                at += n
+                mine = A.taken(ids, start[c], size[c])
+                plain = A.taken(pdata, pstart[mine], plen[mine]).tobytes()
+                if digests:
+                    rows.append((d, z, len(mine), hashlib.sha256(mine.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(plain).hexdigest()))
+                else:
+                    rows.append((d, z, len(mine), mine.astype(np.int64), plain))
+                    held += len(plain) + 8 * len(mine)
+                if len(rows) >= 10_000 or held > CHUNK_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+        now, body, answers = None, None, []
+        for batch in batches:  # by chunk; its documents come first
+            for chunk, bucket, *x in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if chunk != now:
+                    if body:
+                        yield from documents(*body, answers)
+                    now, body, answers = chunk, None, []
+                if bucket < 0:
+                    body = x[0], x[1], x[2]
+                else:
+                    answers.append((bucket, x[0], x[1]))
+        if body:
+            yield from documents(*body, answers)
+
+    return task
 
 
 def bpe_codec(
@@ -183,9 +424,7 @@ def bpe_codec(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer: str | None = None,
-    dictionary_words: int = 30_000,
-    sample_rows: int = 3_000,
-    cache_words: int = 300_000,
+    chunk_bytes: int = CHUNK_BYTES,
     digests: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, ids array<long>, decoded binary; or, with `digests`,
@@ -193,43 +432,26 @@ def bpe_codec(
 
     Null text counts as empty and has no ids; special tokens' strings are
     ordinary text; texts are read whole, words of any length; repeated rows and null ids
-    come back as they are.  Other columns are not read."""
+    come back as they are.  Other columns are not read.  An empty table gives
+    an empty result."""
     path = tokenizer or default_path("byte_bpe_50k.tiktoken")
-    known = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text_col, path, dictionary_words, sample_rows))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        find, one, pieces = _codec(path)
-        cache = dict(known.value)
-        for batch in batches:
-            encoded, decoded = [], []
-            for t in batch.column(1).to_pylist():
-                words = find(t or "")
-                try:
-                    raw = b"".join([cache[w] for w in words])
-                except KeyError:
-                    if len(cache) > cache_words:
-                        cache = dict(known.value)
-                    for w in set(words):
-                        if w not in cache:
-                            cache[w] = np.array(one(w), "<u4").tobytes()
-                    raw = b"".join([cache[w] for w in words])
-                ids = np.frombuffer(raw, "<u4")
-                encoded.append(raw if digests else ids.astype(np.int64))
-                plain = b"".join([pieces[i] for i in ids.tolist()])
-                decoded.append(hashlib.sha256(plain).hexdigest() if digests else plain)
-            if digests:
-                out = [
-                    pa.array([len(x) // 4 for x in encoded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-                    pa.array(decoded, pa.string()),
-                ]
-            else:
-                out = [pa.array(encoded, pa.list_(pa.int64())), pa.array(decoded, pa.binary())]
-            yield pa.record_batch([batch.column(0), *out], names=names)
-
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<long>, decoded binary"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(task, ddl)
+    n = spread(base)
+    chunks = written(base.mapInArrow(_chunk_task(path, 4 * n, chunk_bytes), _CHUNKS), "bpe-chunks")
+    asked = (
+        chunks.where("kind = 1")
+        .select("bucket", "chunk", "words")
+        .repartition(n, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_distinct_task, _ASKED)
+    )
+    # kept apart from the rows without a word, which the fold would only pass through
+    folded = F.when(F.col("kind") == 0, _let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)))
+    answers = asked.select("bucket", "kind", "chunk", folded.alias("pieces"), "numbers").mapInArrow(
+        _answer_task(path), "chunk long, bucket int, sizes binary, ids binary"
+    )
+    none = F.lit(None).cast("binary")
+    bodies = chunks.where("kind = 0").select("chunk", "bucket", F.col("docs").alias("x"), F.col("codes").alias("y"), F.col("words").alias("z"))
+    together = bodies.unionByName(answers.select("chunk", "bucket", F.col("sizes").alias("x"), F.col("ids").alias("y"), none.alias("z")))
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<long>, decoded binary"
+    return together.repartition(n, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_document_task(path, digests), ddl)

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) is a local one chosen.
+    Only a local master may leave it unset; on a cluster every executor would
+    otherwise write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "vitrail-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,3 +39,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> int:
+    """Tasks to deal a table's records over: as the session says, and at least
+    as many as the table is read in, so that a task's share does not grow with it."""
+    return max(partitions(df.sparkSession), df.rdd.getNumPartitions())
