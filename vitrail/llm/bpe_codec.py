@@ -10,15 +10,16 @@ what one place at a time would; `merges` checks that the vocabulary is one.)
 
 A word is folded once in the whole corpus, whatever its length and frequency:
 
-1. Texts are cut into words in chunks of bounded size; a chunk is stored as the
-   word numbers of its documents, and its distinct words go, as blobs, to
-   buckets by their hash.
+1. Texts are cut into words in chunks of bounded size; a chunk becomes the word
+   numbers of its documents, and its distinct words go, as blobs, to buckets
+   by their hash.  Both kinds of rows are one exchange.
 2. A bucket's task folds its distinct words and answers each chunk with the
    words' ids.
 3. A chunk's documents are their word numbers looked up in the answers;
    decoding concatenates the ids' binary pieces.
 
-What shuffles is distinct words per chunk, their ids, and compressed word numbers, no text.
+What shuffles is distinct words per chunk, their ids, and compressed word numbers,
+each once, and no text.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from vitrail.llm import arrays as A
-from vitrail.llm.scratch import spread, written
+from vitrail.llm.scratch import spread
 from vitrail.llm.tokens import default_path
 
-BUCKETS = 1 << 16  # of the rank map
+BUCKETS = 1 << 15  # of the rank map
 PIECE = 0x100
-CHUNK_BYTES = 64 << 20
+MARK = "\U0010fffd"  # no piece
+CHUNK_BYTES = 32 << 20
 CUT = 64  # characters; longer words are folded in parts, cut where no merge can cross
 
 
@@ -86,19 +89,19 @@ def _piece(token: bytes, ranks: dict[bytes, int]) -> str:
 
 @lru_cache(maxsize=2)
 def _rank_json(path: str) -> str:
-    """An array of small maps, as a Spark map is searched entry by entry:
-    a pair's two characters to the merged character and the pair."""
+    """The map's buckets: entries MARK, a pair's two characters, the merged one.
+    (A Spark map is searched entry by entry, and costs an object for each.)"""
     ranks = load_ranks(path)
-    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    buckets = [""] * BUCKETS
     for r, (a, b) in merges(ranks).items():
         pair = _piece(a, ranks) + _piece(b, ranks)
-        maps[zlib.crc32(pair.encode()) % BUCKETS][pair] = _char(PIECE + r) + pair
-    return json.dumps(maps, separators=(",", ":"), ensure_ascii=False)
+        buckets[zlib.crc32(pair.encode()) % BUCKETS] += MARK + pair + _char(PIECE + r)
+    return json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)
 
 
 def rank_map(path: str) -> Column:
     """A literal; from_json of a literal is folded by the optimiser."""
-    return F.from_json(F.lit(_rank_json(path)), "array<map<string,string>>")
+    return F.from_json(F.lit(_rank_json(path)), "array<string>")
 
 
 def _let(value: Column, body) -> Column:
@@ -114,10 +117,15 @@ def fold_word(word: Column, ranks: Column) -> Column:
         def least(chars: Column) -> Column:
             def merged(c: Column, i: Column) -> Column:
                 pair = F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit("")))
-                return F.element_at(F.element_at(ranks, (F.crc32(pair) % BUCKETS + 1).cast("int")), pair)
+                return _let(pair, lambda p: found(F.element_at(ranks, (F.crc32(p) % BUCKETS + 1).cast("int")), p))
 
             return F.array_min(F.transform(chars, merged))
 
+        def found(bucket: Column, pair: Column) -> Column:
+            """The merged character and the pair, or null."""
+            at = F.call_function("instr", bucket, F.concat(F.lit(MARK), pair))
+            return F.when((at > 0) & (F.length(pair) == 2), F.concat(F.call_function("substring", bucket, at + 3, F.lit(1)), pair))
+
         def replaced(m: Column) -> Column:
             ended = F.struct(s.alias("s"), F.lit(True).alias("done"))
             changed = F.replace(s, F.substring(m, 2, 2), F.substring(m, 1, 1))
@@ -227,9 +235,10 @@ def _unplanes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-#: kind 0: a chunk's documents (doc_id, is null, number of codes), codes, and the bucket of
-#: each distinct word; kind 1: the chunk's words of one bucket, by code.
-_CHUNKS = "chunk long, bucket int, kind int, docs binary, codes binary, words binary"
+#: A chunk (route < 0): its documents (doc_id, is null, number of codes), codes, and each distinct
+#: word's bucket.  A bucket (route >= 0): a chunk's words, by code.  Nothing is null in
+#: these rows, and their kinds are told in Python, so that no filter gets under the exchange that both uses share.
+_CHUNKS = StructType([StructField(c, k, False) for c, k in (("route", LongType()), ("chunk", LongType()), ("docs", BinaryType()), ("codes", BinaryType()), ("words", BinaryType()))])
 
 
 class _Codes(dict):
@@ -249,13 +258,13 @@ def _chunk_task(path: str, n_buckets: int, chunk_bytes: int):
             words = [w if isinstance(w, bytes) else w.encode() for w in code_of]
             row = np.array([(0 if d is None else d, d is None, len(x)) for d, x in zip(docs, found)], np.int64)
             bucket = np.array([zlib.crc32(w) % n_buckets for w in words], "<u4")
-            rows = [(number, -1, 0, A.pack(*row.T), _planes(np.concatenate(found)), _planes(bucket))]
+            rows = [(-1 - number, number, A.pack(*row.T), _planes(np.concatenate(found)), _planes(bucket))]
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
-                rows.append((number, b, 1, None, None, _strings([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _CHUNKS.split(", ")])
+                rows.append((b, number, b"", b"", _strings([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_CHUNKS.names)
 
         docs, found, code_of, size = [], [], _Codes(), 0
         for batch in batches:
@@ -273,12 +282,13 @@ def _chunk_task(path: str, n_buckets: int, chunk_bytes: int):
                     docs, found, code_of, size = [], [], _Codes(), 0
         if docs:
             yield done(chunk, docs, found, code_of)
+        A.release()  # the worker lives on beside those of the next stage
 
     return task
 
 
 #: kind 0: a distinct word of a bucket; kind 1: a chunk's words of the bucket, as numbers among those.
-_ASKED = "bucket int, kind int, chunk long, word binary, numbers binary"
+_ASKED = "bucket long, kind int, chunk long, word binary, numbers binary"
 
 
 def _distinct_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +301,7 @@ def _distinct_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for s in range(0, len(words), 5_000):
             w = words[s : s + 5_000]
             n = len(w)
-            yield pa.record_batch([pa.array([bucket] * n, pa.int32()), pa.array([0] * n, pa.int32()), empty(n, pa.int64()), w, empty(n, pa.binary())], names=names)
+            yield pa.record_batch([pa.array([bucket] * n, pa.int64()), pa.array([0] * n, pa.int32()), empty(n, pa.int64()), w, empty(n, pa.binary())], names=names)
         chunks, numbers = [], []
         for chunk, w in asked:
             chunks.append(chunk)
@@ -299,25 +309,23 @@ def _distinct_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             at += len(w)
         n = len(chunks)
         yield pa.record_batch(
-            [pa.array([bucket] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(chunks, pa.int64()), empty(n, pa.binary()), pa.array(numbers, pa.binary())],
+            [pa.array([bucket] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array(chunks, pa.int64()), empty(n, pa.binary()), pa.array(numbers, pa.binary())],
             names=names,
         )
 
     names = [x.split()[0] for x in _ASKED.split(", ")]
-    now, asked = None, []
+    asked: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
-        for b, c, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if b != now and asked:
-                yield from settle(now, asked)
-                asked = []
-            now = b
-            asked.append((c, _unstrings(w)))
-    if asked:
-        yield from settle(now, asked)
+        for b, c, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4)):
+            if b >= 0:
+                asked.setdefault(b, []).append((c, w.as_py()))
+    for b in sorted(asked):
+        yield from settle(b, [(c, _unstrings(w)) for c, w in asked.pop(b)])
 
 
 def _answer_task(path: str):
     """Rows (chunk, bucket, sizes, ids) of folded buckets: the ids of the chunk's words."""
+    names = ["chunk", "bucket", "sizes", "ids"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte = np.array(_byte_ranks(path), np.uint32)
@@ -347,8 +355,8 @@ def _answer_task(path: str):
                     rows.append((chunk, int(now), _planes(n[k].astype("<u4")), _planes(A.taken(ids, start[k], n[k]))))
                 columns = list(zip(*rows))
                 yield pa.record_batch(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                    names=["chunk", "bucket", "sizes", "ids"],
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                    names=names,
                 )
 
     return task
@@ -402,19 +410,11 @@ def _document_task(path: str, digests: bool):
             if rows:
                 yield out(rows)
 
-        now, body, answers = None, None, []
-        for batch in batches:  # by chunk; its documents come first
-            for chunk, bucket, *x in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if chunk != now:
-                    if body:
-                        yield from documents(*body, answers)
-                    now, body, answers = chunk, None, []
-                if bucket < 0:
-                    body = x[0], x[1], x[2]
-                else:
-                    answers.append((bucket, x[0], x[1]))
-        if body:
-            yield from documents(*body, answers)
+        for batch in batches:
+            for i in np.flatnonzero(batch.column(0).to_numpy() < 0).tolist():
+                body = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                answers = [(a["bucket"], a["sizes"], a["ids"]) for a in batch.column(5)[i].as_py() or ()]
+                yield from documents(*body, answers)
 
     return task
 
@@ -437,21 +437,14 @@ def bpe_codec(
     path = tokenizer or default_path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = spread(base)
-    chunks = written(base.mapInArrow(_chunk_task(path, 4 * n, chunk_bytes), _CHUNKS), "bpe-chunks")
-    asked = (
-        chunks.where("kind = 1")
-        .select("bucket", "chunk", "words")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_distinct_task, _ASKED)
-    )
-    # kept apart from the rows without a word, which the fold would only pass through
+    chunks = base.mapInArrow(_chunk_task(path, 4 * n, chunk_bytes), _CHUNKS).repartition(n, "route")
+    asked = chunks.mapInArrow(_distinct_task, _ASKED)
     folded = F.when(F.col("kind") == 0, _let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)))
     answers = asked.select("bucket", "kind", "chunk", folded.alias("pieces"), "numbers").mapInArrow(
-        _answer_task(path), "chunk long, bucket int, sizes binary, ids binary"
+        _answer_task(path), "chunk long, bucket long, sizes binary, ids binary"
     )
-    none = F.lit(None).cast("binary")
-    bodies = chunks.where("kind = 0").select("chunk", "bucket", F.col("docs").alias("x"), F.col("codes").alias("y"), F.col("words").alias("z"))
-    together = bodies.unionByName(answers.select("chunk", "bucket", F.col("sizes").alias("x"), F.col("ids").alias("y"), none.alias("z")))
+    # a chunk has at most one answer per bucket
+    answers = answers.groupBy((-1 - F.col("chunk")).alias("asker")).agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))
+    joined = chunks.join(answers.hint("shuffle_hash"), F.col("route") == F.col("asker"), "left")
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<long>, decoded binary"
-    return together.repartition(n, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_document_task(path, digests), ddl)
+    return joined.select(*_CHUNKS.names, "answers").mapInArrow(_document_task(path, digests), ddl)
