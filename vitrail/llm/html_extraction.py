@@ -17,24 +17,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.dom import Block, blocks
+from vitrail.llm.dom import Block, Node, blocks
 from vitrail.llm.html_training import labelled_page
 
 _END = re.compile(r"[.!?;:…\"”»)]$")
 
 
-def path_features(path: tuple) -> list[str]:
-    """Of a block's ancestors (shared by all blocks at the same place)."""
-    out = {"bias"}
-    if path:
-        out.add("tag=" + next((t for t, _ in reversed(path) if t not in ("b", "i", "em", "strong", "span", "a", "font", "u")), path[-1][0]))
-    for tag, names in path:
-        if tag not in ("html", "body"):
-            out.add("in=" + tag)
-        out.update("name=" + w for w in names)
+def path_features(node: Node | None) -> list[str]:
+    """Of a block's innermost element and its ancestors (shared by all blocks at the same place)."""
+    out = ["bias"] + (["tag=" + node.lead] if node else [])
+    while node:
+        out += node.fresh
+        node = node.parent
     return sorted(out)
 
 
+def path_score(node: Node | None, weights: dict[str, float]) -> float:
+    """Summed weights of `path_features`; every element adds to its parent's sum once."""
+    chain, at = [], node
+    while at and at.score is None:
+        chain.append(at)
+        at = at.parent
+    total = at.score if at else weights.get("bias", 0.0)
+    for x in reversed(chain):
+        total += sum(weights.get(f, 0.0) for f in x.fresh)
+        x.score = total
+    return total + (weights.get("tag=" + node.lead, 0.0) if node else 0.0)
+
+
 def text_features(b: Block) -> list[str]:
     words = b.text.count(" ") + 1
     size = 0 if words < 2 else 1 if words < 4 else 2 if words < 8 else 3 if words < 16 else 4 if words < 40 else 5
@@ -98,7 +108,7 @@ class Crf:
 
 def train_crf(pages: Iterable[tuple[list[Block], list[int]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Crf:
     """Fits a CRF to (blocks, labels) of whole pages."""
-    data = [([path_features(b.path) + text_features(b) for b in bs], labels) for bs, labels in pages if bs]
+    data = [([path_features(b.node) + text_features(b) for b in bs], labels) for bs, labels in pages if bs]
     model, seen = Crf(), {}
 
     def step(key, value, g):
@@ -131,17 +141,9 @@ def default_model(pages: int = 600, seed: int = 7) -> Crf:
     return train_crf((blocks(html), labels) for html, labels in made)
 
 
-def main_text(html: str | None, model: Crf, cache: dict | None = None) -> str:
-    found = blocks(html)
-    cache = {} if cache is None else cache
-    w, scores = model.weights, []
-    for b in found:
-        s = cache.get(b.path)
-        if s is None:
-            if len(cache) > 50_000:
-                cache.clear()
-            s = cache[b.path] = sum(w.get(f, 0.0) for f in path_features(b.path))
-        scores.append(s + sum(w.get(f, 0.0) for f in text_features(b)))
+def main_text(html: str | None, model: Crf) -> str:
+    found, w = blocks(html), model.weights
+    scores = [path_score(b.node, w) + sum(w.get(f, 0.0) for f in text_features(b)) for b in found]
     return " ".join(b.text for b, y in zip(found, model.decode(scores)) if y)
 
 
@@ -155,9 +157,8 @@ def extract_main_text(
     crf = model or default_model()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            texts = [main_text(h, crf, cache) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h, crf) for h in batch.column(2).to_pylist()]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"]

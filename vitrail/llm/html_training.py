@@ -112,9 +112,21 @@ class _Page:
         self.raw(f"<form{self.named('search', 'login', 'subscribe', 'signup', 'newsletter', 'contact') if self.r.random() < 0.5 else ''}>")
         for _ in range(self.r.randint(1, 4)):
             self.block(self.r.choice(("label", "p", "div", "button", "legend")), _phrase(self.r, 1, 5), 0)
+            if self.r.random() < 0.2:
+                self.block("textarea", _phrase(self.r, 1, 5), 0)
             self.raw('<input type="text">')
         self.raw("</form>")
 
+    def fallback(self):
+        """What shows where scripts or plug-ins don't run."""
+        tag = self.r.choice(("noscript", "noscript", "object", "iframe"))
+        if self.r.random() < 0.5:
+            self.block(tag, _phrase(self.r, 2, 8).capitalize() + ".", 0)
+        else:
+            self.raw(f"<{tag}>")
+            self.block("p", _phrase(self.r, 2, 8).capitalize() + ".", 0, link=self.r.random() < 0.3)
+            self.raw(f"</{tag}>")
+
     def share(self):
         self.links("div", self.named("share", "social", "tags", "share-buttons", "toolbar", "pagination", "pager", "meta"), self.r.randint(1, 5))
 
@@ -182,6 +194,10 @@ class _Page:
                 self.raw(t.replace("<", "</"))
             elif kind < 0.93:
                 self.block(r.choice(("blockquote", "pre", "div", "figcaption")), self.paragraph(1, 1, 3), 1)
+            elif kind < 0.96:  # the article's own text, for readers without scripts or plug-ins
+                self.raw(f"<{(t := r.choice(('noscript', 'object')))}>")
+                self.block("p", self.paragraph(1, 2, 5), 1)
+                self.raw(f"</{t}>")
             elif inserts:
                 r.choice(inserts)()
         for t in reversed(opened):
@@ -193,11 +209,11 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     r = random.Random(seed)
     p = _Page(r)
     p.raw('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>')
-    before = [p.menu, p.header, p.advert, p.notice, p.form, p.sidebar]
-    after = [p.comments, p.sidebar, p.share, p.advert, p.form, p.notice, p.menu]
+    before = [p.menu, p.header, p.advert, p.notice, p.form, p.sidebar, p.fallback]
+    after = [p.comments, p.sidebar, p.share, p.advert, p.form, p.notice, p.menu, p.fallback]
     for part in r.sample(before, r.randint(0, 4)):
         part()
-    p.article([p.advert, p.share, p.sidebar, p.form, p.notice] if r.random() < 0.4 else [])
+    p.article([p.advert, p.share, p.sidebar, p.form, p.notice] if r.random() < 0.5 else [])
     for part in r.sample(after, r.randint(0, 4)):
         part()
     if r.random() < 0.8:
