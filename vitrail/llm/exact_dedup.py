@@ -1,15 +1,17 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 hashes every text and keeps, in a Bloom filter of fixed size, the slots
-that at least two rows hit (k = 2 slots per row).  Pass 2 tests every row: a
-row with a slot that only it hits cannot have a copy and passes straight
-through; only possible repeats shuffle, and of those only (id, digest).
-
-Scale: the filter has 2**log2_bits bits whatever the input (default 2**26
-bits, 8 MB at most), so its broadcast is bounded; beyond some 10**8 rows it fills
-up and the plan degrades to an ordinary hash aggregation, with the same result.
-Slots are counted with map-side combine, so a hot text costs one row per task.
-The possible repeats are joined with their per-digest summary, never gathered
+Texts are read once, for their SHA-256; the table of digests is stored.  Pass 1
+keeps, in a Bloom filter sized from the number of rows, the slots that at least
+two rows hit.  Pass 2 tests every row: a row with a slot that only it hits
+cannot have a copy and passes straight through; only possible repeats shuffle,
+and of those only (id, digest).
+
+Scale: the parts of the filter meet in an exchange of slot numbers (8 bytes,
+counted before they are sent, so a hot text costs one number a task): that is what a sparse bitmap
+per task would hold, where dense ones would cost each task the whole filter.
+The broadcast filter is at most 32 MB (see `bloom`); from some 10**8 rows on
+more rows than need be shuffle as (id, digest), 40 bytes each, with the same result.  The
+possible repeats are joined with their per-digest summary, never gathered
 per group; an oversized digest is one that AQE splits, since the summary side
 has one row per digest.
 """
@@ -19,81 +21,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 2
+from vitrail.llm import bloom
+from vitrail.llm.scratch import written
 
 
-def _slots(digest: Column, log2_bits: int) -> list[Column]:
-    """K slots from disjoint parts of the SHA-256 in hex."""
-    return [
-        F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long").bitwiseAND(F.lit((1 << log2_bits) - 1))
-        for i in range(K)
-    ]
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the text in UTF-8 as binary; null counts as empty."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
-def repeat_filter(digests: DataFrame, digest: str, log2_bits: int) -> DataFrame:
-    """Rows (bucket, bits): 4 KB bitmaps of the slots hit by two or more rows.
+def repeat_filter(digests: DataFrame, digest: Column, log2_bits: int) -> DataFrame:
+    """The stored filter of the slots hit by two or more rows."""
+    hits = bloom.all_slots(digests, F.xxhash64(digest), log2_bits).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    return bloom.frames(hits.where("n > 1"), "exact-filter")
 
-    The filter of slot i lies in its own range, i * 2**log2_bits further on.
-    """
-    slots = [s + F.lit(i << log2_bits) for i, s in enumerate(_slots(F.col(digest), log2_bits))]
-    hits = digests.select(F.explode(F.array(*slots)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        hits.where("n > 1")
-        .groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+
+def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, summary): rows of the stored digests with boolean `maybe`, and the
+    digests that `maybe` rows share: _sha, keep_id, group_size, of_keep (rows with that id)."""
+    base = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("sha"))
+    base = written(base, "exact-digests")
+    bits = bloom.log2_bits_for(base.count()) if log2_bits is None else log2_bits
+    rows = bloom.tested(base, F.xxhash64("sha"), repeat_filter(base, F.col("sha"), bits), bits)
+    # The join key is not the grouping key: the summary then gets an exchange of
+    # its own, and AQE can split a hot digest on the side of the rows.
+    by_id = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    summary = by_id.groupBy(F.hex("sha").alias("_sha")).agg(
+        F.max("doc_id").alias("keep_id"),
+        F.sum("n").alias("group_size"),
+        F.max_by("n", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("of_keep"),
     )
+    return rows, summary
 
 
-def possible_repeats(digests: DataFrame, digest: str, filt: DataFrame, log2_bits: int) -> DataFrame:
-    """Adds boolean `maybe`: every slot of the row is in the filter."""
-    out, maybe = digests, F.lit(True)
-    for i, s in enumerate(_slots(F.col(digest), log2_bits)):
-        slot = s + F.lit(i << log2_bits)
-        f = filt.select(F.col("bucket").alias(f"_b{i}"), F.col("bits").alias(f"_bits{i}"))
-        out = (
-            out.withColumn("_slot", slot)
-            .withColumn(f"_k{i}", F.expr("bitmap_bucket_number(_slot)"))
-            .withColumn(f"_p{i}", F.expr("bitmap_bit_position(_slot)"))
-            .drop("_slot")
-            .join(F.broadcast(f), F.col(f"_k{i}") == F.col(f"_b{i}"), "left")
-        )
-        byte = F.conv(F.hex(F.expr(f"substring(_bits{i}, cast(_p{i} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        bit = F.expr(f"cast(_p{i} % 8 as int)")
-        maybe = maybe & (F.coalesce(F.call_function("shiftright", byte, bit), F.lit(0)).bitwiseAND(F.lit(1)) == 1)
-    return out.withColumn("maybe", maybe).drop(*[f"{c}{i}" for c in ("_k", "_p", "_b", "_bits") for i in range(K)])
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 25) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest id stays.  A null text counts as
-    empty, so nulls and empty texts form one group.  Rows that repeat an id
-    with the same text are copies too: all of them carry that id as keep_id and
-    are marked kept (callers that need one row per id drop duplicates first).
+    Of equal texts the row with the largest id stays; null ids are less than
+    any.  A null text counts as empty, so nulls and empty texts form one group.
+    Rows that repeat an id with the same text are copies too: all of them carry
+    that id as keep_id and are marked kept (`without_copies` leaves one of them).
     An empty table gives an empty result; other columns are not read.
     """
-    base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256).alias("text_sha256"),
-    )
-    filt = repeat_filter(base, "text_sha256", log2_bits)
-    tested = possible_repeats(base, "text_sha256", filt, log2_bits)
-    single = tested.where(~F.col("maybe")).select(
-        "doc_id",
-        F.col("doc_id").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
-        "text_sha256",
+    rows, summary = digest_groups(docs, id_col, text_col, log2_bits)
+    text_sha256 = F.lower(F.hex("sha")).alias("text_sha256")
+    single = rows.where(~F.col("maybe")).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256
     )
-    maybe = tested.where("maybe").select("doc_id", "text_sha256")
-    # The join key is not the grouping key: the summary then gets an exchange of
-    # its own, and AQE can split a hot digest on the side of the rows.
-    summary = (
-        maybe.groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.unhex("text_sha256").alias("_sha"), "keep_id", "group_size")
-    )
-    several = maybe.join(summary, F.unhex(maybe["text_sha256"]) == F.col("_sha")).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+    several = rows.where("maybe").join(summary, F.hex("sha") == F.col("_sha")).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), text_sha256
     )
     return single.unionByName(several)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of every text: the one `exact_dedup` keeps, once.
+
+    A text moves only if its digest may be a repeated one."""
+    _, summary = digest_groups(docs, id_col, text_col)
+    groups = written(summary.where("group_size > 1").select(F.unhex("_sha").alias("_group"), F.col("keep_id").alias("_keep")), "exact-groups")
+    rows = docs.withColumn("_sha", digest_of(F.col(text_col)))
+    rows = bloom.flagged(rows, F.xxhash64("_sha"), groups, F.xxhash64("_group"), "exact-groups-filter")
+    apart = rows.where(~F.col("maybe"))
+    met = rows.where("maybe").join(groups, F.hex("_sha") == F.hex("_group"), "left")
+    false_alarms = met.where("_group is null")
+    kept = met.where(F.col("_group").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates(["_group"])
+    columns = docs.columns
+    return apart.select(*columns).unionByName(false_alarms.select(*columns)).unionByName(kept.select(*columns))
