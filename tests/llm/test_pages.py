@@ -34,18 +34,20 @@ def test_archive_equals_brute_force(make):
 
 
 def test_repeated_and_missing_ids(make):
-    df = make([(1, "u", "a", "", ""), (1, "u", "a", "", ""), (None, "u", "a", "", ""), (2, "u", "a", "", "")], DDL)
-    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(df).collect())
-    assert [g[:2] for g in got] == [(1, "response"), (1, "response"), (2, "revisit")] and got[2][2] == 1
+    pages = [(1, "a"), (1, "a"), (None, "a"), (2, "a"), (None, "alone"), (None, "both"), (None, "both"), (None, None)]
+    df = make([(i, "u", h, "", "") for i, h in pages], DDL)
+    got = sorted((str(r.page_id), r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.archive_pages(df).collect())
+    want = [("1", "response", 0, 1), ("1", "response", 0, 1), ("2", "revisit", 1, 1), ("None", "response", 0, 0), ("None", "response", 0, 4)]
+    assert got == [*want, ("None", "response", 0, 4), ("None", "response", 0, 5), ("None", "revisit", 1, 1)]
 
 
 def test_bundles_seek_and_decompress_as_a_stream(make, tmp_path):
     rows = [(i, f"http://h/{i}", f"page {i % 40} " * 400, "", "") for i in range(300)]
     bundles = warc.write_bundles(make(rows, DDL).coalesce(1))
-    index = warc.read_bundles(bundles)
-    wanted = index.where("page_id % 7 = 0 and record_type = 'response'")
-    got = {r.page_id: bytes(r.payload) for r in warc.read_payloads(bundles, wanted).collect()}
-    assert got and all(v.decode() == rows[k][2] for k, v in got.items())
+    index = warc.record_index(bundles)
+    assert {(r.page_id, r.frame, r.offset) for r in index.collect()} == {(r.page_id, r.frame, r.offset) for r in warc.read_bundles(bundles).collect()}
+    got = {r.page_id: bytes(r.payload) for r in warc.read_payloads(bundles, index.where("page_id % 7 = 0")).collect()}
+    assert sorted(got) == list(range(0, 300, 7)) and all(v.decode() == rows[k][2] for k, v in got.items())
     data = bytes(bundles.first().bytes)
     assert len(warc.Bundle(data).sizes) > 1
     path = tmp_path / "x.warc.zst"
@@ -63,7 +65,7 @@ def test_damage_is_noticed():
         warc.Bundle(data[:-3])
 
 
-@pytest.mark.parametrize("n", [0, 1, 2**62, 2**63 - 1, -1, -(2**63)])
+@pytest.mark.parametrize("n", [0, 1, 2**62, 2**63 - 1, -1, -(2**63), None])
 def test_record_ids_hold_the_page(n):
     assert warc.page_of(warc.record_id(n)) == n
 
@@ -82,7 +84,7 @@ def test_model_on_unseen_labelled_pages():
         html, labels = labelled_page(seed)
         found = blocks(html)
         assert len(found) == len(labels)
-        scores = [sum(m.weights.get(f, 0) for f in path_features(b.path) + text_features(b)) for b in found]
+        scores = [sum(m.weights.get(f, 0) for f in path_features(b.node) + text_features(b)) for b in found]
         right += sum(a == b for a, b in zip(m.decode(scores), labels))
         total += len(labels)
     assert right / total > 0.98
@@ -148,3 +150,19 @@ def test_parts_that_are_no_article(part):
     m = default_model()
     for page in (f"<html><body>{part}<article>{body}</article></body></html>", f"<body><article>{body}</article>{part}</body>"):
         assert main_text(page, m) == want
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 200_000, "<div><b>x" * 50_000 + "</b>" * 100_000, "<span>" * 100_000 + "<hr>x" * 50_000, "<head>x" * 100_000, "<ul><li>x" * 50_000 + "</i>" * 50_000])
+def test_deep_and_untidy_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    main_text(page, default_model(20))
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("tag", ["noscript", "object"])
+def test_article_text_for_readers_without_scripts_stays(tag):
+    story = "The first paragraph, which is long enough to be told apart. It goes on."
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>A title of the story</h1><p>{story}</p><{tag}><p>{story}</p></{tag}><p>{story}</p></article></body>"
+    assert main_text(page, default_model()) == f"A title of the story {story} {story} {story}"
