@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is two aggregations and joins on node ids; no node's neighbours
-are ever gathered.  Rounds are stored in the shared folder, so a lost
+Every round is aggregations and joins on (node, salt of the neighbour): a hub's
+edges are dealt over many tasks, its least neighbour is taken per salt and then over the salts.
+No node's neighbours are ever gathered.  Rounds are stored in the shared folder, so a lost
 executor costs at most one round.
 """
 
@@ -10,21 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.scratch import written
+from vitrail.llm.scratch import partitions, written
+
+LEAST_SALTS = 16
+
+
+def _pointed(edges: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v, m) with the least v of each u as m, and (u, m) per node."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    nodes = parts.groupBy(F.col("u").alias("k")).agg(F.min("m").alias("m"), F.collect_list("s").alias("salts"))
+    told = nodes.select("k", "m", F.explode("salts").alias("ks"))
+    return dealt.join(told, (F.col("u") == F.col("k")) & (F.col("s") == F.col("ks"))).select("u", "v", "m"), nodes.select(F.col("k").alias("u"), "m")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over edges (u, v) with u > v."""
+    salts = max(LEAST_SALTS, partitions(edges.sparkSession))
     if large:  # both directions; larger neighbours point to the least one
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("k"), F.least("u", "m").alias("m")
-        )
-        out = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both, _ = _pointed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), salts)
+        out = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:  # smaller neighbours and the node itself point to the least one
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        moved = edges.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        moved, nodes = _pointed(edges, salts)
+        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(nodes.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
