@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.llm.exact_dedup import exact_dedup
+from vitrail.llm import bloom
+from vitrail.llm.exact_dedup import without_copies
 from vitrail.llm.language_id import identify_language, train_language_model
 from vitrail.llm.ngram_join import ngram_join
 from vitrail.llm.packing import pack_documents
@@ -22,28 +23,37 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is a guess."""
+    """Drops documents without letters (null texts too) and those whose language is a guess.
+
+    Ids are not looked at; rows that repeat are told alike."""
     model = train_language_model(docs)
     told = identify_language(docs, model, prefix="_")
     return told.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays, once."""
-    copies = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_copy"))
-    told = docs.withColumn("_sha", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    left = told.join(copies, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_copy")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """Of equal texts, the document with the largest doc_id stays, once.
+
+    Null texts are empty ones; null ids are less than any; a row that repeats
+    is one document."""
+    return without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest doc_id stays."""
-    linked = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(linked, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of linked documents, the one with the smallest doc_id stays.
+
+    Rows without id or words are linked with nothing and stay.  Only documents
+    that a Bloom filter of the ids to drop lets through are shuffled."""
+    linked = written(ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    rows = bloom.flagged(docs, F.xxhash64(F.col("doc_id").cast("long")), linked, F.xxhash64("_id"), "near-copies-filter")
+    told = rows.where("maybe").join(linked, F.col("doc_id") == F.col("_id"), "left_anti")
+    return rows.where(~F.col("maybe")).select(*docs.columns).unionByName(told.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings that start earlier; a document with nothing left goes."""
+    """Cuts byte strings that start earlier; a document with nothing left, or of null text, goes.
+
+    A row without id loses nothing; rows of one id and text are one document."""
     return (
         without_repeats(docs)
         .where(F.length("text") > 0)
@@ -53,7 +63,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of the remaining documents, in sequences of 2048 tokens."""
+    """One row per piece of the remaining documents, in sequences of 2048 tokens; null ids stay null."""
     return pack_documents(docs)
 
 
