@@ -140,7 +140,7 @@ def test_ngram_join_equals_brute_force(make, corpus):
 
 @pytest.mark.parametrize("pivots", [1, 4])
 def test_ngram_join_of_a_large_component(make, corpus, monkeypatch, pivots):
-    for name, value in {"CELL_SETS": 4, "CHUNK_SETS": 3, "PIVOTS": pivots, "OUTLIER_TILE": 2, "TILE_SETS": 5}.items():
+    for name, value in {"CHUNK_SETS": 3, "PIVOTS": pivots, "OUTLIER_TILE": 2, "TILE_SETS": 5}.items():
         monkeypatch.setattr(f"vitrail.llm.ngram_join.{name}", value)
     assert rows_of(ngram_join(make(corpus, DDL))) == brute_join(corpus)
 

@@ -109,7 +109,7 @@ def test_packing_whole_and_gapless(make, reference):
     assert pack_documents(make([], DDL)).collect() == []
 
 
-def test_packing_stops_narrowing_at_the_node_bound(make, monkeypatch):
+def test_packing_ends_where_bins_cannot_be_joined(make, monkeypatch):
     monkeypatch.setattr("vitrail.llm.packing.NODE_ITEMS", 4)
     rows = [(i, "x " * 700, "", 0) for i in range(60)]
     out = pack_documents(make(rows, DDL).repartition(12))
@@ -133,3 +133,12 @@ def test_long_words_and_whole_corpus_equal_tiktoken(spark, sf_dir, make, referen
 def test_a_vocabulary_that_merges_cannot_make_is_refused():
     with pytest.raises(ValueError):
         codec.merges({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
+
+
+def test_bounded_nodes_keep_merging(make, monkeypatch):
+    monkeypatch.setattr("vitrail.llm.packing.NODE_ITEMS", 16)
+    r = random.Random(11)
+    rows = [(i, "x " * r.randint(30, 900), "", 0) for i in range(400)]
+    out = pack_documents(make(rows, DDL).repartition(40)).collect()
+    assert len({p.doc_id for p in out}) == 400
+    assert len({p.sequence_id for p in out}) <= 1.12 * -(-sum(p.length for p in out) // 2048)

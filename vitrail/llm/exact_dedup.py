@@ -38,7 +38,7 @@ def repeat_filter(digests: DataFrame, digest: Column, log2_bits: int) -> DataFra
 
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, summary): rows of the stored digests with boolean `maybe`, and the
-    digests that `maybe` rows share: _sha, keep_id, group_size, of_keep (rows with that id)."""
+    digests that `maybe` rows share: _sha in hex, keep_id, group_size."""
     base = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("sha"))
     base = written(base, "exact-digests")
     bits = bloom.log2_bits_for(base.count()) if log2_bits is None else log2_bits
@@ -46,12 +46,8 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The join key is not the grouping key: the summary then gets an exchange of
     # its own, and AQE can split a hot digest on the side of the rows.
     by_id = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    summary = by_id.groupBy(F.hex("sha").alias("_sha")).agg(
-        F.max("doc_id").alias("keep_id"),
-        F.sum("n").alias("group_size"),
-        F.max_by("n", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("of_keep"),
-    )
-    return rows, summary
+    summary = by_id.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return rows, summary.select(F.hex("sha").alias("_sha"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> DataFrame:

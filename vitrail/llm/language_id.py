@@ -133,6 +133,8 @@ def train_language_model(
     for x in languages:
         share = F.when(F.col("lang") == x, F.lit(min(1.0, quota / sizes[x]))).otherwise(share)
     sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    # an id counts once, however often it comes: the bound is one of rows
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

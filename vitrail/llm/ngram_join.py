@@ -14,9 +14,9 @@ split in a way that loses no link:
    a * (1 - t) / t tokens.  Cut token space into one group more than that: some group
    then holds the same tokens in both.  Sets of close sizes that agree in a
    group (equal coordinates, told by an order-free hash) are candidates.
-2. Components of candidates become cells, each with an R-tree of its own.  A
-   component beyond a fixed size is first held, chunk by chunk, against some
-   pivots of its own; that links most of it.  What is not in its largest part
+2. Components of candidates are dealt into chunks, each a cell with an R-tree of
+   its own.  Most components are one chunk, and done.  The chunks of others are
+   held against some pivots of the component; that links most of it.  What is not in its largest part
    then meets all of it, tile by tile.  Pairs within that part are connected already, so no
    component is lost, cells are bounded, and the work grows with the
    outliers and not with the square of the component.
@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
 from vitrail.llm.components import components
-from vitrail.llm.scratch import partitions, written
+from vitrail.llm.scratch import spread, written
 from vitrail.llm.textscan import Scan
 
 TILE = 1 << 19
 FLUSH = 1_500_000
 GROUPS = 128
 FANOUT = 16
-CELL_SETS, CELL_TOKENS = 4096, 2_000_000  # of a component that is one cell
-CHUNK_SETS, PIVOTS, PIVOT_TOKENS = 1024, 48, 1_000_000  # of a larger one
+CHUNK_SETS, CELL_TOKENS = 1024, 2_000_000  # of a chunk
+PIVOTS, PIVOT_TOKENS = 48, 1_000_000  # of a component of several
 OUTLIER_TILE, TILE_SETS = 256, 1024
 
 
@@ -344,9 +344,8 @@ def ngram_join(
     different ids are linked; a repeated id is one document.  Rows without id
     come back with a null component.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = spread(base)
     named = base.where("doc_id is not null")
     found = written(
         named.mapInArrow(_group_task(k, num, den, 4 * n), _DDL)
@@ -360,7 +359,7 @@ def ngram_join(
 
     member = candidates.join(first, candidates["node"] == first["sid"]).select("sid", "root", "first_id", "n")
     shape = member.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
-    shape = shape.withColumn("large", (F.col("m") > CELL_SETS) | (F.col("tokens") > CELL_TOKENS))
+    shape = shape.withColumn("large", (F.col("m") > CHUNK_SETS) | (F.col("tokens") > CELL_TOKENS))
     placed = member.join(shape, F.col("root") == F.col("r")).drop("r")
     # the same plan at every size: `placed` grows with the corpus, so it is never broadcast
     texts = written(

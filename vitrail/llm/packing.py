@@ -3,8 +3,9 @@
 Every partition packs its own pieces by best fit (largest first).  Nearly full
 bins are final; the others become items, of their fill, for the next level, where fewer
 nodes pack what several nodes below left over, and so on up the tree.  A node
-takes a bounded number of items: the tree stops narrowing where that bound
-would be passed, so its root never gathers what grows with the corpus.
+takes a bounded number of items, so no node gathers what grows with the corpus: where the bound
+keeps the tree from narrowing, the items are dealt anew to as many nodes, round
+after round, until there is one node or a round leaves nearly as many underfull bins as it got.
 
 Levels are stored in the shared folder; texts are tokenised once and only
 (id, piece, start, length, checksum) records move.
@@ -28,6 +29,8 @@ CAPACITY = 2048
 NEARLY_FULL = 2040
 FANOUT = 8
 NODE_ITEMS = 200_000
+LEAST_GAIN = 64  # a round dealt anew that saves less than one bin in so many is the last
+MOST_ROUNDS = 120  # levels are numbered in seven bits
 _NO_ID = np.iinfo(np.int64).min
 _BINS = "seq long, full boolean, fill int, items binary"
 _COLUMNS = 6  # doc_id, piece, start, length, crc32, offset
@@ -71,13 +74,13 @@ def pieces(ids: np.ndarray, capacity: int, end_id: int) -> list[tuple[int, int,
     return out
 
 
-def _bins_out(level: int, made: list[tuple[int, bytes]], count: int, last: bool, capacity: int, near: int):
+def _bins_out(level: int, made: list[tuple[int, bytes]], count: int, capacity: int, near: int):
     base = (level << 56) | (TaskContext.get().partitionId() << 32) | count
     fill = [f for f, _ in made]
     return pa.record_batch(
         [
             pa.array(range(base, base + len(made)), pa.int64()),
-            pa.array([last or f >= min(near, capacity) for f in fill], pa.bool_()),
+            pa.array([f >= min(near, capacity) for f in fill], pa.bool_()),
             pa.array(fill, pa.int32()),
             pa.array([x for _, x in made], pa.binary()),
         ],
@@ -106,15 +109,15 @@ def _leaf_task(path: str, capacity: int, near: int, end_id: int):
                 rows += [(d, *p) for p in pieces(ids, capacity, end_id)]
             if len(rows) >= NODE_ITEMS:
                 made = pack(rows)
-                yield _bins_out(0, made, count, False, capacity, near)
+                yield _bins_out(0, made, count, capacity, near)
                 count, rows = count + len(made), []
         if rows:
-            yield _bins_out(0, pack(rows), count, False, capacity, near)
+            yield _bins_out(0, pack(rows), count, capacity, near)
 
     return task
 
 
-def _merge_task(level: int, last: bool, capacity: int, near: int):
+def _merge_task(level: int, capacity: int, near: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: dict[int, list[tuple[int, int, bytes]]] = {}
         for batch in batches:
@@ -129,7 +132,7 @@ def _merge_task(level: int, last: bool, capacity: int, near: int):
                 t = t.copy()
                 t[:, 5] = np.cumsum(t[:, 3]) - t[:, 3]
                 made.append((int(t[:, 3].sum()), t.tobytes()))
-            yield _bins_out(level, made, count, last, capacity, near)
+            yield _bins_out(level, made, count, capacity, near)
             count += len(made)
 
     return task
@@ -176,24 +179,23 @@ def pack_documents(
     cur = written(base.mapInArrow(_leaf_task(path, capacity, near, end_id), _BINS), "packing")
     done, level = [cur.where("full")], 0
     left = cur.where("not full")
-    nodes = left.select(F.expr("seq >> 32").alias("p")).distinct().count()
-    while True:
-        n = left.count()
-        if not n:
-            break
+    nodes, n = left.select(F.expr("seq >> 32").alias("p")).distinct().count(), left.count()
+    while n:
         fewer = max(-(-nodes // FANOUT), -(-n // NODE_ITEMS))
         level += 1
-        last = fewer == 1 or fewer >= nodes
         cur = written(
-            left.select(F.pmod(F.xxhash64("seq"), F.lit(fewer)).cast("int").alias("node"), "seq", "fill", "items")
+            left.select(F.pmod(F.xxhash64("seq", F.lit(level)), F.lit(fewer)).cast("int").alias("node"), "seq", "fill", "items")
             .repartition(fewer, "node")
-            .mapInArrow(_merge_task(level, last, capacity, near), _BINS),
+            .mapInArrow(_merge_task(level, capacity, near), _BINS),
             "packing",
         )
         done.append(cur.where("full"))
-        if last:
+        left, before = cur.where("not full"), n
+        n = left.count()
+        if fewer == 1 or fewer >= nodes and n > before - before // LEAST_GAIN or level == MOST_ROUNDS:
             break
-        left, nodes = cur.where("not full"), fewer
+        nodes = fewer
+    done.append(left)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

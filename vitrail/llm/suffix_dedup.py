@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
-from vitrail.llm.scratch import partitions
+from vitrail.llm.scratch import spread
 
 Q = 32
 TILE = 1 << 19
@@ -294,7 +294,7 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     """
     if not 2 * Q <= width <= 4 * Q:
         raise ValueError("width must be 64 to 128")
-    n = n_buckets = partitions(docs.sparkSession)
+    n = n_buckets = spread(docs)
     named = docs.where("doc_id is not null")
     # Renamed, both joins read one exchange: a plain self-join would be
     # given an alias on one side only, and the texts would shuffle twice.

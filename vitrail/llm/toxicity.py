@@ -117,7 +117,9 @@ def train_toxicity_model(
     sample = written(
         docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
         .select(F.col(id_col).cast("long").alias("id"), F.col("_y").alias("y"), F.col(text_col).alias("text"))
-        .where("text is not null"),
+        .where("text is not null")
+        .groupBy("id")  # an id counts once, however often it comes
+        .agg(F.max("y").alias("y"), F.min("text").alias("text")),
         "toxicity-sample",
     ).coalesce(8)  # a bounded sample, however many files it came from
     size = 1 << BITS
