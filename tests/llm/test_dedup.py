@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from vitrail.llm.components import components
+from vitrail.llm.components import components, local_stars
 from vitrail.llm.exact_dedup import exact_dedup
 from vitrail.llm.ngram_join import RTree, SizeClasses, cell_links, ngram_join
 from vitrail.llm.suffix_dedup import suffix_dedup, without_repeats
@@ -200,6 +200,8 @@ def test_components_of_chains_and_stars(make):
     got = dict(tuple(x) for x in components(make(edges, "a long, b long")).collect())
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 150)} == {100} and got[300] == got[200] == 200
     assert components(make([], "a long, b long")).collect() == []
+    a, b = local_stars(np.array([5, 9, 1, 20]), np.array([9, 1, 7, 21]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 5), (1, 7), (1, 9), (20, 21)] and local_stars(a[:0], b[:0])[0].size == 0
 
 
 def test_exact_dedup(make):

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
-from vitrail.llm.components import components
+from vitrail.llm.components import components, local_stars
 from vitrail.llm.scratch import spread, written
 from vitrail.llm.textscan import Scan
 
@@ -162,7 +162,7 @@ def _candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     key, sid = key[order], sid[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     lead = np.repeat(sid[first], np.diff(np.r_[first, len(key)]))
-    pairs = np.unique(np.stack([lead, sid], 1)[lead != sid], axis=0)
+    pairs = np.stack(local_stars(lead[lead != sid], sid[lead != sid]), 1)
     doc, dsid, n = A.unpack_all(found[1], 3)
     kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(len(doc), np.int32)]
     columns = [np.r_[pairs[:, 0], doc], np.r_[pairs[:, 1], dsid], np.r_[np.zeros(len(pairs), np.int64), n]]
@@ -273,8 +273,9 @@ def _cell_task(k: int, num: int, den: int):
         data, off = A.utf8(texts)
         sets = [s for i, j in A.groups_of(off, TILE) for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)]
         found = cell_links(sets, np.array([r[2] for r in rows]), num, den, np.array([r[3] for r in rows]))
-        a, b = [rows[i][1] for i, _ in found], [rows[j][1] for _, j in found]
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        # sets of one group are connected: the group stands for them
+        ends = np.array([(rows[i][3], rows[j][3]) for i, j in found], np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(x, pa.int64()) for x in local_stars(ends[:, 0], ends[:, 1])], names=["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
