@@ -151,3 +151,63 @@ def test_em_finds_the_two_groups():
     patterns = np.array([[2, 2, 2], [0, 0, 1], [2, 1, 2], [0, 2, 0], [1, 1, 1]])
     p = fit_votes(patterns, np.array([900.0, 80, 300, 30, 5]))
     assert p[0] > 0.99 and p[1] < 0.01 and p[2] > 0.9 and p[3] < 0.5
+
+
+def brute_votes(t):
+    """The six rules, in plain Python."""
+    n, chars, symbols, dup, repeat = brute(t)
+    t = t or ""
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) for x in t.split("\n"))
+    upper = sum("A" <= c <= "Z" for c in t)
+    w = max(n, 1)
+    vote = lambda bad, good: 0 if bad else 2 if good else 1
+    mean, share = chars / w, upper / max(chars, 1)
+    return (
+        vote(n < 50, n >= 80), vote(symbols / w > 0.4, symbols / w < 0.1), vote(dup / max(lines, 1) > 0.3, dup / max(lines, 1) <= 0.1),
+        vote(repeat / w > 0.4, repeat / w <= 0.15), vote(mean < 2.5 or mean > 15, 3.5 <= mean <= 11), vote(share > 0.4, share < 0.15),
+    )
+
+
+def brute_posteriors(votes):
+    """EM over every row by itself, not over patterns."""
+    import math
+
+    p = [min(max(0.5 + sum(v - 1 for v in row) / (2 * len(row)), 0.05), 0.95) for row in votes]
+    for _ in range(100):
+        total, good = len(votes), sum(p)
+        new = []
+        tables = []
+        for r in range(len(votes[0])):
+            bad_n, good_n = [1.0] * 3, [1.0] * 3
+            for row, q in zip(votes, p):
+                bad_n[row[r]] += 1 - q
+                good_n[row[r]] += q
+            tables.append(([x / sum(bad_n) for x in bad_n], [x / sum(good_n) for x in good_n]))
+        for row in votes:
+            log = math.log((total - good + 1) / (total + 2)) - math.log((good + 1) / (total + 2))
+            log += sum(math.log(b[v]) - math.log(g[v]) for v, (b, g) in zip(row, tables))
+            new.append(1 / (1 + math.exp(min(max(log, -500), 500))))
+        moved = max(abs(a - b) for a, b in zip(new, p))
+        if moved < 1e-9:
+            break
+        p = new
+    return p
+
+
+def test_whole_result_equals_brute_force(docs):
+    rows = docs.collect()
+    p = brute_posteriors([brute_votes(r.text) for r in rows])
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert len(got) == len(rows)
+    for r, q in zip(rows, p):
+        n, _, _, _, repeat = brute(r.text)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert tuple(got[r.doc_id])[1:6] == brute(r.text) and got[r.doc_id].base_failed == failed
+        assert abs(got[r.doc_id].p_good - q) < 1e-6 and got[r.doc_id].kept == (not failed and q >= 0.5)
+
+
+def test_samples_are_bounded_by_rows(make):
+    ddl = "doc_id long, text string, lang string, source string"
+    again = [(8, "le chat et le chien dorment ici", "fr", "")] * 300 + [(i, "the cat and the dog sleep here", "en", "") for i in range(10, 40)]
+    got = {r.doc_id: r.lang_pred for r in language_id(make(again, ddl)).collect()}
+    assert set(got) == {8, *range(10, 40)} and got[11] == "en"

@@ -55,3 +55,20 @@ def test_run_and_empty_table(spark, sf_dir, tmp_path):
 def test_ten_queries_are_registered():
     assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_with_repeated_rows_and_nulls(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = "one two three four five six seven eight nine ten " * 12
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    rows = [(1, text), (1, text), (2, text + "x"), (3, None), (None, text + " none"), (4, "a short one"), (4, "a short one"), (5, "a short one")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *(F.lit(None).cast(kinds[c]).alias(c) for c in docs.columns[2:]))
+    exact = P.exact_copies(spark, d, sf_dir)
+    ids = lambda x: sorted((str(r.doc_id), len(r.text or "")) for r in x.collect())
+    assert ids(exact) == sorted([("1", len(text)), ("2", len(text) + 1), ("3", 0), ("None", len(text) + 5), ("5", 11)])
+    near = P.near_copies(spark, exact, sf_dir)
+    assert ids(near) == sorted([("1", len(text)), ("3", 0), ("None", len(text) + 5), ("5", 11)])
+    cut = P.repeated_passages(spark, near, sf_dir)
+    assert {r.doc_id for r in cut.collect()} == {1, None, 5}
+    packed = P.packing(spark, cut, sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in packed) == ["1", "5", "None"]
