@@ -233,6 +233,14 @@ def test_audit_chain_notices_changes(spark):
     forged = F.when((F.col("log") == "l") & (F.col("id") == 1), "x").otherwise(F.col("payload"))
     assert ok(c.withColumn("payload", forged)) == {"l": False, "m": True}
     assert ok(c.where("NOT (log = 'l' AND id = 1)")) == {"l": False, "m": True}
+    last = audit.heads(c)
+    cut = c.where("NOT (log = 'l' AND id = 2)")
+    assert ok(cut)["l"] and {r.log: r.valid for r in audit.verify(cut, last=last).collect()} == {"l": False, "m": True}
+
+
+def test_a_long_log_is_one_stream(spark):
+    e = spark.range(300_000).selectExpr("'l' AS log", "id", "cast(id AS string) AS ts", "'u' AS actor", "'e' AS event", "'{}' AS payload")
+    assert audit.verify(audit.chain(e)).first().valid
 
 
 def test_lockout_breaker_and_sessions(spark):
@@ -240,6 +248,10 @@ def test_lockout_breaker_and_sessions(spark):
     a = spark.createDataFrame(rows, "user_id string, t string, ok boolean").withColumn("ts", F.to_timestamp("t"))
     got = audit.failure_runs(a).collect()
     assert [str(r.locked_at)[11:16] for r in got] == ["00:07"]
+    at = [f"00:0{i}" for i in range(5)] + ["00:10", "01:00", "01:05", "02:00", "03:00"]
+    rows = [("v", f"2024-01-01 {t}:00", t in ("00:10", "01:05")) for t in at]  # successes during a lock are turned away
+    later = spark.createDataFrame(rows, "user_id string, t string, ok boolean").withColumn("ts", F.to_timestamp("t"))
+    assert [str(r.locked_at)[11:16] for r in audit.failure_runs(later).orderBy("locked_at").collect()] == ["00:04", "01:00", "02:00", "03:00"]
     s = audit.sessions(a.where("ok or t like '%00:08%'"), minutes=5).orderBy("start").collect()
     assert [r.n for r in s] == [1, 1]
     seg = spark.createDataFrame([("d", i, True) for i in range(17)], "document_id string, seg int, failed boolean")
@@ -273,14 +285,17 @@ def test_segments(spark):
     assert rel("Traitement par ramipril 5 mg au long cours, surveillance") and not rel("court") and not rel("cher confrère, je vous remercie de votre envoi du mois dernier")
 
 
-def test_anchors():
+def test_anchors(spark):
     text = "Ligne une\nUlcère bulbaire linéaire, connu\nfin"
-    assert segments.anchor(text, "Ulcère bulbaire linéaire", "ulcère bulbaire")[2] == 2
-    assert segments.anchor(text, "absent", "bulbaire")[:3] == (17, 8, 1)
-    assert segments.anchor(text, "Ligne une", "ulcère")[2:] == (0, "")
-    at, n, level, passage = segments.anchor(text, "", "Ulcere bulbaire lineaire (connu)")
-    assert level == 1 and text[at : at + n] == passage
-    assert segments.anchor(text, "", "zzz qqq")[2] == 0
+    asked = [
+        ("Ulcère bulbaire linéaire", "ulcère bulbaire"), ("absent", "bulbaire"), ("Ligne une", "ulcère"), ("", "Ulcere bulbaire lineaire (connu)"),
+        ("", "zzz qqq"), (None, None), ("ulcère BULBAIRE", "ulcere bulbair"), ("", "Ligne une"),
+    ]
+    rows = spark.createDataFrame([(i, text, *a) for i, a in enumerate(asked)], "i int, text string, passage string, valeur string")
+    got = {r.i: tuple(r.ancre) for r in segments.anchored(rows).collect()}
+    assert got[0] == (10, 24, 2, "Ulcère bulbaire linéaire") and got[1] == (17, 8, 1, "bulbaire") and got[2] == (0, 9, 0, "")
+    assert got[3] == (10, 31, 1, "Ulcère bulbaire linéaire, connu") and got[4] == got[5] == (-1, 0, 0, "")
+    assert got[6][:3] == (10, 15, 2) and got[7] == (0, 9, 1, "Ligne une")
 
 
 def test_llm_provider_failures_fall_back(spark):
@@ -323,7 +338,7 @@ def test_files(spark, tmp_path):
 
     rows = ocr_pages(scans(spark, path), provider).collect()
     assert [(r.page, r.text, r.error) for r in rows] == [(1, "page", None), (2, None, "ValueError: illisible")]
-    assert synthetic_cases(spark).count() == 3
+    assert synthetic_cases(spark).count() == 7
 
 
 def test_streams(spark, tmp_path):
@@ -334,10 +349,18 @@ def test_streams(spark, tmp_path):
     front.anonymized_stream(front.document_stream(spark, src), out, ck).awaitTermination()
     assert {r.text for r in spark.read.parquet(out).collect()} == {"mail [REDACTED:EMAIL]", "rien"}
     ev = spark.createDataFrame([("l", i, f"t{i}", "u", "e", "{}") for i in range(5)], "log string, id long, ts string, actor string, event string, payload string")
-    ev.write.parquet(f"{src}2")
-    stream = spark.readStream.schema(ev.schema).parquet(f"{src}2")
+    for i in range(3):  # a file, and so an epoch, each
+        ev.withColumn("id", F.col("id") + 5 * i).coalesce(1).write.mode("append").parquet(f"{src}2")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}2")
     front.audited(stream, f"{out}2", f"{ck}2").awaitTermination()
-    assert front.audit_is_valid(spark, f"{out}2") and spark.read.parquet(f"{out}2").count() == 5
+    entries = spark.read.parquet(f"{out}2/entries")
+    assert front.audit_is_valid(spark, f"{out}2") and entries.count() == 15 and entries.where("prev_hash = 'GENESIS'").count() == 1
+    for epoch in (1, 2):  # in the middle, and the last
+        moved = tmp_path / f"gone{epoch}"
+        (tmp_path / "out2" / "entries" / f"epoch={epoch}").rename(moved)
+        assert not front.audit_is_valid(spark, f"{out}2")
+        moved.rename(tmp_path / "out2" / "entries" / f"epoch={epoch}")
+    assert front.audit_is_valid(spark, f"{out}2")
 
 
 def test_pages_to_summary(spark):
