@@ -7,6 +7,8 @@ only and join the scores back.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -84,6 +86,34 @@ def extract_one(query: str, choices: list[str], scorer: Callable[[str, str], flo
     return (at, best) if at >= 0 and best >= cutoff else None
 
 
+def plain(s: str) -> str:
+    """Of table entries: lower-case words of a-z and 0-9, without accents."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if unicodedata.category(c) != "Mn")
+    return " ".join(re.findall("[a-z0-9]+", bare))
+
+
+def closest_col(query: Column, choices: list[str], scorer: Callable[[str, str], float], cutoff: float) -> Column:
+    """struct<at,score>: the first best choice of a fixed list; null below the cutoff or
+    without a query."""
+
+    def batch(q: pd.Series) -> pd.DataFrame:
+        hits = [extract_one(x, choices, scorer, cutoff) if x else None for x in q]
+        return pd.DataFrame({"at": pd.array([h and h[0] for h in hits], "Int32"), "score": [h[1] if h else None for h in hits]})
+
+    batch.__annotations__ = {"q": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(batch, "at int, score double")(query)
+
+
+def words_met_col(words: Column, others: Column, cutoff: float) -> Column:
+    """How many of `words` (array) have a word of `others` at least that close."""
+
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sum(any(ratio(x, y) >= cutoff for y in ys) for x in xs) if xs is not None and ys is not None else 0 for xs, ys in zip(a, b)], dtype="int32")
+
+    batch.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, T.IntegerType())(words, others)
+
+
 def _pairwise(score: Callable[[str, str], float]):
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")

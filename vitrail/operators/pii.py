@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions import terminology as T
 from vitrail.functions.text import in_words, short_hash, strip_accents
-from vitrail.operators.spans import keep_best, let, regex_spans, replace_spans, replace_values, sub
+from vitrail.operators.spans import keep_best, let, line_spans, regex_spans, replace_spans, replace_values, running, sub
 
 SPAN = (
     "struct<pii_type:string,start:int,end:int,value:string,confidence:double,method:string,context:string,seq:int>"
@@ -67,9 +69,11 @@ def line_of(text: Column, s: Column) -> Column:
     return F.concat(before, s["value"], after)
 
 
-def before(text: Column, start: Column, width: int) -> Column:
-    from_ = F.greatest(start - width, F.lit(0))
-    return sub(text, from_, start - from_)
+def before(lines: Column, row: Column, start: Column, width: int) -> Column:
+    """The `width` characters before a place in a line; a line break is one of them."""
+    i = row["i"]
+    above = F.array_join(F.slice(lines, F.greatest(i - width + 1, F.lit(1)), F.least(i, F.lit(width))), "\n")
+    return F.right(F.concat(F.when(i > 0, F.concat(above, F.lit("\n"))).otherwise(""), F.left(row["line"], start)), F.lit(width))
 
 
 def pattern_spans(text: Column) -> list[Column]:
@@ -83,14 +87,12 @@ def date_spans(text: Column) -> Column:
     """Dates with a birth cue in the 30 characters before or in the line, or a
     death cue before; other dates are no identifiers."""
 
-    def kind(s: Column) -> Column:
-        window = before(text, s["start"], 30)
-        return F.when(window.rlike(BIRTH_CUE) | line_of(text, s).rlike(BIRTH_CUE), "DATE_NAISSANCE").when(
-            window.rlike(DEATH_CUE), "DATE_DECES"
-        )
+    def dated(s: Column, inner: Column, row: Column, lines: Column) -> Column:
+        window = before(lines, row, inner["start"], 30)
+        kind = F.when(row["line"].rlike(BIRTH_CUE) | window.rlike(BIRTH_CUE), "DATE_NAISSANCE").when(window.rlike(DEATH_CUE), "DATE_DECES")
+        return _span(kind, s, 0.95, "heuristique", "", 20)
 
-    found = F.transform(regex_spans(text, DATE), lambda s: _span(kind(s), s, 0.95, "heuristique", "", 20))
-    return F.filter(found, lambda s: s["pii_type"].isNotNull())
+    return F.filter(line_spans(text, DATE, None, dated), lambda s: s["pii_type"].isNotNull())
 
 
 def _name_words(name: Column) -> Column:
@@ -104,17 +106,17 @@ def _stopped(name: Column) -> Column:
 def titled_names(text: Column) -> Column:
     """Names after a title: in capitals, with a known first name, or after a
     title that only goes with names."""
-    titles = F.regexp_extract_all(text, F.lit(TITLED_NAME), F.lit(1))
-    wholes = F.regexp_extract_all(text, F.lit(TITLED_NAME), F.lit(0))
 
-    def span(s: Column, i: Column) -> Column:
-        known = F.exists(_name_words(s["value"]), lambda w: in_words(w, T.FIRST_NAMES))
-        capitals = F.regexp_extract(s["value"], r"^\S+", 0).rlike(r"^[A-ZÀ-Ý]{2,}[A-ZÀ-Ý\-]*$")
-        strong = in_words(F.lower(F.get(titles, i)), T.STRONG_TITLES)
-        confidence = F.when(_stopped(s["value"]), None).when(known, 0.95).when(capitals, 0.90).when(strong, 0.85)
-        return _span("NOM_PERSONNE", s, confidence, "heuristique", F.left(F.get(wholes, i), F.lit(20)), 30)
+    def span(whole: Column) -> Column:
+        name, title = (F.regexp_extract(whole["value"], TITLED_NAME, g) for g in (2, 1))
+        known = F.exists(_name_words(name), lambda w: in_words(w, T.FIRST_NAMES))
+        capitals = F.regexp_extract(name, r"^\S+", 0).rlike(r"^[A-ZÀ-Ý]{2,}[A-ZÀ-Ý\-]*$")
+        strong = in_words(F.lower(title), T.STRONG_TITLES)
+        confidence = F.when(_stopped(name), None).when(known, 0.95).when(capitals, 0.90).when(strong, 0.85)
+        at = F.struct((whole["end"] - F.length(name)).alias("start"), whole["end"].alias("end"), name.alias("value"))
+        return _span("NOM_PERSONNE", at, confidence, "heuristique", F.left(whole["value"], F.lit(20)), 30)
 
-    return F.filter(F.transform(regex_spans(text, TITLED_NAME, 2), span), lambda s: s["confidence"].isNotNull())
+    return F.filter(F.transform(regex_spans(text, TITLED_NAME), span), lambda s: s["confidence"].isNotNull())
 
 
 def dictionary_names(text: Column) -> Column:
@@ -129,24 +131,40 @@ def dictionary_names(text: Column) -> Column:
 def identity_line_names(text: Column) -> Column:
     """Capitals and a first name anywhere in a line that speaks of identity.
     Offsets are those in the document."""
-    found = F.filter(
-        regex_spans(text, CAPITALS_NAME),
-        lambda s: line_of(text, s).rlike(IDENTITY_LINE)
-        & ~_stopped(s["value"])
-        & (F.length(F.regexp_extract(s["value"], r"^[^ \t]+", 0)) >= 3),
-    )
-    return F.transform(found, lambda s: _span("NOM_PERSONNE", s, 0.85, "heuristique", F.left(line_of(text, s), F.lit(20)), 32))
 
+    def named(s: Column, inner: Column, row: Column, lines: Column) -> Column:
+        kept = ~_stopped(s["value"]) & (F.length(F.regexp_extract(s["value"], r"^[^ \t]+", 0)) >= 3)
+        return F.when(kept, _span("NOM_PERSONNE", s, 0.85, "heuristique", F.left(row["line"], F.lit(20)), 32))
+
+    return F.filter(line_spans(text, CAPITALS_NAME, IDENTITY_LINE, named), lambda s: s.isNotNull())
 
-def pii_spans(text: Column) -> Column:
-    """All detectors, then the best spans without overlaps; no UDF."""
+
+def pii_spans(text: Column, *detectors: Callable[[Column], Column]) -> Column:
+    """All detectors, then the best spans without overlaps; no UDF.  Further
+    detectors map the text to an array of spans."""
     t = F.coalesce(text, F.lit(""))
-    found = F.concat(*pattern_spans(t), date_spans(t), titled_names(t), dictionary_names(t), identity_line_names(t))
+    found = F.concat(*pattern_spans(t), date_spans(t), titled_names(t), dictionary_names(t), identity_line_names(t), *(d(t) for d in detectors))
     return keep_best(found, SPAN)
 
 
-def with_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
-    return docs.withColumn(out, pii_spans(F.col(text_col)))
+PERSON_CONFIDENCE = 0.80  # fixed value
+
+
+def person_spans(found: DataFrame) -> DataFrame:
+    """(document_id, spans) of the persons that a name model gives (document_id,
+    label, texte, debut, fin): those of label PER."""
+    s = F.struct(F.col("debut").alias("start"), F.col("fin").alias("end"), F.col("texte").alias("value"))
+    per = found.where(F.regexp_replace("label", "^[BI]-", "") == "PER")
+    return per.groupBy("document_id").agg(F.collect_list(_span("NOM_PERSONNE", s, PERSON_CONFIDENCE, "ner", "", 40)).alias("spans"))
+
+
+def with_pii(docs: DataFrame, text_col: str = "text", out: str = "pii", persons: DataFrame | None = None) -> DataFrame:
+    """Adds the spans; `persons` (see `person_spans`) compete with the detectors' own."""
+    if persons is None:
+        return docs.withColumn(out, pii_spans(F.col(text_col)))
+    added = docs.join(persons.select("document_id", F.col("spans").alias("_per")), "document_id", "left")
+    none = F.array().cast(f"array<{SPAN}>")
+    return added.withColumn(out, pii_spans(F.col(text_col), lambda _: F.coalesce("_per", none))).drop("_per")
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -175,22 +193,44 @@ def _numbered(prefix: Column, n: Column) -> Column:
 
 
 def pseudonym_pairs(spans: Column) -> Column:
-    """array<struct<start,end,value,token>>: numbers by prefix, in the order
-    values first occur in the document; case and outer spaces do not count."""
+    """array<struct<start,end,value,token>>: numbers by type, in the order
+    values first occur in the document; case and outer spaces do not count.
+
+    By sorting: equal values meet, take their first place, and are numbered in the order of those."""
+
+    def numbered(seen: Column) -> Column:  # (type, key, place), sorted
+        new = lambda x, i: (i == 0) | (F.get(seen, i - 1)["t"] != x["t"]) | (F.get(seen, i - 1)["k"] != x["k"])
+        head = running(F.transform(seen, lambda x, i: F.when(new(x, i), i).otherwise(0)), greatest=True)
+        firsts = let(head, lambda h: F.transform(seen, lambda x, i: F.struct(x["t"].alias("t"), F.get(seen, F.get(h, i))["i"].alias("f"), x["i"].alias("i"))))
+        return let(F.array_sort(firsts), counted)
+
+    def counted(by_first: Column) -> Column:  # (type, first place, place), sorted
+        prev = lambda i: F.get(by_first, i - 1)
+        value = running(F.transform(by_first, lambda x, i: F.when((i == 0) | (prev(i)["t"] != x["t"]) | (prev(i)["f"] != x["f"]), 1).otherwise(0)))
 
-    def pair(s: Column) -> Column:
-        same = F.transform(F.filter(spans, lambda o: o["pii_type"] == s["pii_type"]), _key)
-        number = F.array_position(F.array_distinct(same), _key(s))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _numbered(_prefix(s["pii_type"]), number).alias("token"))
+        def from_type(v: Column) -> Column:
+            base = running(F.transform(by_first, lambda x, i: F.when((i > 0) & (prev(i)["t"] != x["t"]), F.get(v, i - 1)).otherwise(0)), greatest=True)
+            back = let(base, lambda b: F.array_sort(F.transform(by_first, lambda x, i: F.struct(x["i"].alias("i"), (F.get(v, i) - F.get(b, i)).alias("n")))))
+            return F.transform(back, lambda x: x["n"])
 
-    return F.transform(spans, pair)
+        return let(value, from_type)
+
+    seen = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["pii_type"].alias("t"), _key(s).alias("k"), i.alias("i"))))
+    pair = lambda s, n: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _numbered(_prefix(s["pii_type"]), n).alias("token"))
+    return F.zip_with(spans, let(seen, numbered), pair)
 
 
 def token_map(pairs: Column) -> Column:
-    """map<token,value>; of several spellings the last in the document stays."""
-    tokens = F.array_distinct(F.transform(pairs, lambda p: p["token"]))
-    last = F.transform(tokens, lambda t: F.element_at(F.filter(pairs, lambda p: p["token"] == t), -1)["value"])
-    return F.map_from_arrays(tokens, last)
+    """map<token,value>, by first occurrence; of several spellings the last in the document stays."""
+
+    def ends(p: Column) -> Column:  # (token, place, value), sorted
+        same = lambda x, i: F.coalesce(F.get(p, i)["t"] == x["t"], F.lit(False))
+        firsts = F.filter(p, lambda x, i: (i == 0) | ~same(x, i - 1))
+        lasts = F.filter(p, lambda x, i: ~same(x, i + 1))
+        return F.array_sort(F.zip_with(firsts, lasts, lambda a, b: F.struct(a["i"].alias("i"), a["t"].alias("t"), b["v"].alias("v"))))
+
+    ordered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["token"].alias("t"), i.alias("i"), p["value"].alias("v"))))
+    return let(let(ordered, ends), lambda e: F.map_from_arrays(F.transform(e, lambda x: x["t"]), F.transform(e, lambda x: x["v"])))
 
 
 def pseudonymize(text: Column, pairs: Column) -> Column:

@@ -17,7 +17,7 @@ from vitrail.functions import terminology as T
 from vitrail.functions.fuzzy import token_set_ratio
 from vitrail.functions.text import DOSE, EDGE, in_words, normalize
 from vitrail.operators.pii import line_of
-from vitrail.operators.spans import regex_spans, sub
+from vitrail.operators.spans import let, regex_spans, running, sub
 
 #: Section headings.
 HEADINGS = {
@@ -78,20 +78,16 @@ def item_spans(chunk: Column) -> Column:
     """Items of a text with their own offsets in it (of the trimmed item)."""
     parts = F.split(chunk, r"(?<=[.;])\s+|\n", -1)
     gaps = F.concat(F.regexp_extract_all(chunk, F.lit(r"(?<=[.;])\s+|\n"), F.lit(0)), F.array(F.lit("")))
-    step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["p"]) + F.length(p["g"])).cast("int").alias("at"),
-        F.concat(
-            s["out"],
-            F.array(
-                F.struct(
-                    (s["at"] + F.length(p["p"]) - F.length(F.ltrim(p["p"], F.lit(EDGE)))).cast("int").alias("start"), F.btrim(p["p"], F.lit(EDGE)).alias("value")
-                )
-            ),
-        ).alias("out"),
-    )
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    found = F.aggregate(F.arrays_zip(parts.alias("p"), gaps.alias("g")), init, step, lambda s: s["out"])
-    return F.filter(found, lambda s: F.length(s["value"]) >= 3)
+
+    def placed(p: Column) -> Column:
+        ends = running(F.zip_with(p, gaps, lambda x, g: F.length(x) + F.length(g)))
+        item = lambda x, i, e: F.struct(
+            (F.when(i == 0, 0).otherwise(F.get(e, i - 1)) + F.length(x) - F.length(F.ltrim(x, F.lit(EDGE)))).cast("int").alias("start"),
+            F.btrim(x, F.lit(EDGE)).alias("value"),
+        )
+        return let(ends, lambda e: F.transform(p, lambda x, i: item(x, i, e)))
+
+    return F.filter(let(parts, placed), lambda s: F.length(s["value"]) >= 3)
 
 
 def _rows(df: DataFrame, value: Column, section: Column | str, confidence: Column | float, start: Column) -> DataFrame:
@@ -195,15 +191,16 @@ def free_risks(docs: DataFrame) -> DataFrame:
 def free_diagnoses(docs: DataFrame) -> DataFrame:
     """Short lines close to a code label (token-set ratio of 80 or more).  Distinct
     lines are scored once, against a table of fixed size."""
+    import unicodedata
+
     labels = sorted({" ".join(x.split()) for _, x in T.rows(T.ICD10)})
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if unicodedata.category(c) != "Mn")
     line = F.trim("line")
     lines = _lines(docs).where((F.length(line) > 3) & (F.length(line) < 60) & ~line.rlike(LAB_LINE))
     forms = lines.select(normalize(F.col("line")).alias("form")).distinct()
 
     def close_forms(batches):
-        from vitrail.operators.codes import _plain
-
-        known = [_plain(x) for x in labels]
+        known = [bare(x) for x in labels]
         for batch in batches:
             yield batch[[any(token_set_ratio(f, k) >= 80 for k in known) for f in batch["form"]]]
 
