@@ -25,6 +25,10 @@ NOTICE = (
     "Document généré automatiquement à partir de documents scannés. Le contenu n'a PAS été vérifié médicalement : il doit être relu, "
     "corrigé si nécessaire et validé par un médecin avant tout usage clinique."
 )
+#: Identity fields of the first two headings, and their confidences.
+PATIENT_FIELDS = {"identite": "Identité", "date_naissance": "Date de naissance", "sexe": "Sexe", "ins": "INS / NIR"}
+DOCTOR_FIELDS = {"medecin": "Identité", "rpps": "RPPS", "adeli": "ADELI"}
+TOKEN_CONFIDENCE, SEX_CONFIDENCE = 1.0, 0.9
 TOKEN = r"\[(PATIENT|DATE_NAISSANCE|NIR|INS|RPPS|ADELI)_\d{3}\]"
 SEX = r"(?iuU)\bsexe\s*:?\s*([HMF]|[Mm]asculin|[Ff][ée]minin)"
 
@@ -78,8 +82,27 @@ def violations(vsm: DataFrame) -> DataFrame:
     return vsm.select("document_id", F.explode(F.array_compact(F.array(*checks))).alias("violation"))
 
 
+def _identity_lines(vsm: DataFrame, fields: dict[str, str], line) -> Column:
+    """Texts line(title, value, confidence) of the identity fields that are there."""
+    have = [c for c in fields if c in vsm.columns]
+    rows = [F.when(F.col(c).isNotNull(), line(fields[c], F.col(c), F.lit(SEX_CONFIDENCE if c == "sexe" else TOKEN_CONFIDENCE))) for c in have]
+    return F.array_compact(F.array(*rows)) if rows else F.array().cast("array<string>")
+
+
+def _or_empty(vsm: DataFrame, column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column in vsm.columns else F.lit("")
+
+
+def _signed(vsm: DataFrame, signed: Column, blank: str) -> Column:
+    return F.when(F.col("signe_par").isNotNull(), signed).otherwise(blank) if "signe_par" in vsm.columns else F.lit(blank)
+
+
 def markdown(vsm: DataFrame) -> DataFrame:
-    """(document_id, markdown) with headings 3 to 9 and a line per field."""
+    """(document_id, markdown): nine headings (the patient, the doctor, and the
+    sections), a line per field, and the signature.
+
+    Uses, where the columns are there: the fields of `identity`, date_generation,
+    and signe_par, date_signature and empreinte_vsm (see `sign`)."""
     has = set(vsm.schema[SECTIONS[0]].dataType.elementType.names)
 
     def line(x: Column) -> Column:
@@ -91,14 +114,84 @@ def markdown(vsm: DataFrame) -> DataFrame:
             mention = F.coalesce(F.concat(F.lit(" — *"), x["mention_contexte"], F.lit("*")), F.lit(""))
         return F.concat(F.lit("- "), x["valeur"], code, mention, F.lit(" · "), badge(x["confiance"], x["a_valider"]))
 
-    blocks = [F.lit("# Volet de Synthèse Médicale (VSM)"), F.concat(F.lit("*Statut : "), F.col("statut"), F.lit("*")), F.concat(F.lit("> "), F.col("avertissement"))]
+    def known(fields: dict[str, str], missing: str) -> Column:
+        lines = _identity_lines(vsm, fields, lambda title, v, c: F.concat(F.lit(f"- **{title} :** "), v, F.lit(" · "), badge(c, c < TO_VALIDATE)))
+        return F.when(F.size(lines) == 0, missing).otherwise(F.array_join(lines, "\n"))
+
+    when = F.concat(F.lit("*Généré le "), _or_empty(vsm, "date_generation"), F.lit(" — statut : "), F.col("statut"), F.lit("*"))
+    blocks = [
+        F.lit("# Volet de Synthèse Médicale (VSM)"), when, F.concat(F.lit("> "), F.col("avertissement")),
+        F.concat(F.lit("## 1. Identification du patient\n"), known(PATIENT_FIELDS, "_Non renseignée (mode strict ou document non identifié)._")),
+        F.concat(F.lit("## 2. Médecin traitant\n"), known(DOCTOR_FIELDS, "_Non renseigné._")),
+    ]
     for i, s in enumerate(SECTIONS, 3):
         head = F.concat(F.lit(f"## {i}. {TITLES[s]}  `complétude "), percent(F.col(f"completude_{s}")), F.lit("`"))
         body = F.when(F.size(s) == 0, F.lit("_Aucune information extraite — section à compléter manuellement._")).otherwise(F.array_join(F.transform(s, line), "\n"))
         blocks.append(F.concat(head, F.lit("\n"), body))
+    if "signe_par" in vsm.columns:
+        by = F.concat(F.lit("**Signé par** "), F.col("signe_par"), F.lit(" le "), _or_empty(vsm, "date_signature"), F.lit(" — empreinte `"), F.left(_or_empty(vsm, "empreinte_vsm"), F.lit(16)), F.lit("…`"))
+    else:
+        by = F.lit("")
+    blocks += [F.lit("---"), _signed(vsm, by, "**Signature du médecin :** ____________________    Date : ____ / ____ / ________")]
     return vsm.select("document_id", F.concat_ws("\n\n", *blocks).alias("markdown"))
 
 
+STYLE = "body{font-family:sans-serif;max-width:50rem;margin:2rem auto}.check{background:#fdecea}.none,.share{color:#666}"
+
+
+def _escaped(c: Column) -> Column:
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def html(vsm: DataFrame) -> DataFrame:
+    """(document_id, html): the same content as `markdown`, as a page; all values are escaped."""
+    has = set(vsm.schema[SECTIONS[0]].dataType.elementType.names)
+    e, lit = _escaped, F.lit
+
+    def line(x: Column) -> Column:
+        code = mention = source = lit("")
+        if "code_normalise" in has:
+            c = x["code_normalise"]
+            code = F.when(c.isNotNull(), F.concat(lit(" <span class='code'>"), e(c["systeme"]), lit(" "), e(c["code"]), lit(" — "), e(c["libelle_officiel"]), lit("</span>"))).otherwise("")
+        if "mention_contexte" in has:
+            mention = F.when(x["mention_contexte"].isNotNull(), F.concat(lit(" <em>("), e(x["mention_contexte"]), lit(")</em>"))).otherwise("")
+        if "passage" in has:
+            source = e(x["passage"])
+        tag = F.when(x["a_valider"], "<li class='check' title='Source : ").otherwise("<li title='Source : ")
+        return F.concat(tag, source, lit("'>"), e(x["valeur"]), code, mention, lit(" · "), badge(x["confiance"], x["a_valider"]), lit("</li>"))
+
+    def block(title: Column, lines: Column, missing: str) -> Column:
+        listed = F.when(F.size(lines) == 0, f"<p class='none'>{missing}</p>").otherwise(F.concat(lit("<ul>"), F.array_join(lines, ""), lit("</ul>")))
+        return F.concat(lit("<section><h2>"), title, lit("</h2>"), listed, lit("</section>"))
+
+    def known(fields: dict[str, str]) -> Column:
+        return _identity_lines(vsm, fields, lambda title, v, c: F.concat(lit(f"<li><strong>{title} :</strong> "), e(v), lit(" · "), badge(c, c < TO_VALIDATE), lit("</li>")))
+
+    parts = [
+        lit(f"<!doctype html><html lang='fr'><head><meta charset='utf-8'><title>Volet de Synthèse Médicale</title><style>{STYLE}</style></head><body>"),
+        lit("<h1>Volet de Synthèse Médicale (VSM)</h1><p>Généré le "), e(_or_empty(vsm, "date_generation")), lit(" — statut : "), e(F.col("statut")), lit("</p><p class='check'>"),
+        e(F.col("avertissement")), lit("</p>"), block(lit("1. Identification du patient"), known(PATIENT_FIELDS), "Non renseigné."),
+        block(lit("2. Médecin traitant"), known(DOCTOR_FIELDS), "Non renseigné."),
+    ]
+    for i, s in enumerate(SECTIONS, 3):
+        title = F.concat(lit(f"{i}. {TITLES[s]} <span class='share'>complétude "), percent(F.col(f"completude_{s}")), lit("</span>"))
+        parts.append(block(title, F.transform(s, line), "Aucune information extraite — à compléter manuellement."))
+    if "signe_par" in vsm.columns:
+        by = F.concat(lit("<p><strong>Signé par "), e(F.col("signe_par")), lit("</strong> le "), e(_or_empty(vsm, "date_signature")), lit(" — empreinte <code>"), e(F.left(_or_empty(vsm, "empreinte_vsm"), lit(16))), lit("…</code></p>"))
+    else:
+        by = lit("")
+    parts += [_signed(vsm, by, "<p><strong>Signature du médecin :</strong> ____________________ Date : ____ / ____ / ________</p>"), lit("</body></html>")]
+    return vsm.select("document_id", F.concat(*parts).alias("html"))
+
+
+def sign(vsm: DataFrame, by: str, when: str) -> DataFrame:
+    """Signed: the state, who and when, and the fingerprint of what was signed."""
+    return fingerprint(vsm, "empreinte_vsm").withColumn("signe_par", F.lit(by)).withColumn("date_signature", F.lit(when)).withColumn("statut", F.lit("signe"))
+
+
 def edit(vsm: DataFrame, section: str, ord_: int, value: str | None = None) -> DataFrame:
     """An edited or confirmed field has confidence 1 and needs no validation."""
     changed = lambda x: F.when(

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.operators import assemble as A
-from vitrail.operators import codes, dedup, pages as P, sections, validate as V
+from vitrail.operators import codes, dedup, lexical, pages as P, sections, segments as S, validate as V
 from vitrail.operators import entities as E
 from vitrail.operators.spans import sub
 
-ENGINES = {"rules": "rules", "regles": "rules", "drbert": "ner", "ner": "ner", "encoder": "ner"}
+ENGINES = {"rules": "rules", "regles": "rules", "drbert": "ner", "ner": "ner", "encoder": "ner", "llm": "llm", "hybride": "llm"}
 FIELDS = ["document_id", "section", "valeur", "confiance", "passage", "offset_debut", "origine", "mention_contexte"]
 
 
@@ -62,18 +62,59 @@ def entity_fields(docs: DataFrame, page_map: DataFrame, found: DataFrame, option
     return kept.withColumn("origine", F.lit("ner")).select(*FIELDS), log, bad
 
 
+def rule_fields(docs: DataFrame) -> DataFrame:
+    found = sections.extract_rules(docs).withColumn("origine", F.lit("regles")).withColumn("mention_contexte", F.lit(None).cast("string"))
+    return found.select(*FIELDS)
+
+
+def llm_fields(docs: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields, rejects, report) of a model's answers (`segments.llm_answers`).
+
+    Items are validated against the text and their values corrected; a segment
+    that failed or gave nothing goes by the rules, and a document without any item goes by
+    them whole.  Of equal values of a section the model's counts."""
+    key = F.concat_ws("#", "document_id", F.col("seg").cast("string"))
+    text = docs.select("document_id", "text")
+    candidates = S.llm_items(answers, docs).withColumn("valeur", F.trim("valeur"))
+    kept, rejects = V.validate(candidates)
+    kept = lexical.correct(kept.withColumn("_row", F.monotonically_increasing_id()), "valeur", "_row")
+    kept = kept.withColumn("passage", F.when(F.col("niveau") > 0, F.col("passage")).otherwise("")).withColumn("origine", F.lit("llm")).select(*FIELDS)
+    with_items = kept.select("document_id").distinct()
+    bare = answers.where(F.col("failed") | (F.size("items") == 0))
+    parts = bare.join(with_items, "document_id", "left_semi").select(key.alias("document_id"), "text", F.col("document_id").alias("of"))
+    by_segment = rule_fields(parts.select("document_id", "text")).join(parts.select("document_id", "of"), "document_id").drop("document_id")
+    located = by_segment.withColumnRenamed("of", "document_id").join(text, "document_id")
+    at = F.call_function("locate", F.col("valeur"), F.col("text")) - 1  # a segment's own offsets are not the document's
+    by_segment = located.withColumn("offset_debut", F.greatest(at, F.lit(0))).select(*FIELDS)
+    whole = rule_fields(text.join(with_items, "document_id", "left_anti"))
+    seen = kept.select(F.col("document_id").alias("_d"), F.col("section").alias("_s"), F.lower(F.trim("valeur")).alias("_v")).distinct()
+    same = (F.col("document_id") == F.col("_d")) & (F.col("section") == F.col("_s")) & (F.lower(F.trim("valeur")) == F.col("_v"))
+    added = by_segment.join(seen, same, "left_anti").dropDuplicates(["document_id", "section", "valeur"])
+    counts = answers.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("segments"), F.count_if("failed").alias("echecs"), F.count_if(F.col("failed") | (F.size("items") == 0)).alias("par_regles")
+    )
+    state = F.when(F.col("_has").isNull(), "repli_regles").when(F.coalesce("par_regles", F.lit(0)) == 0, "llm_complet").otherwise("llm_partiel")
+    report = text.select("document_id").join(counts, "document_id", "left").join(with_items.withColumn("_has", F.lit(True)), "document_id", "left")
+    return kept.unionByName(added).unionByName(whole), rejects, report.withColumn("statut", state).drop("_has")
+
+
 def summarize(pages: DataFrame, options: Options = Options(), provider: Callable | None = None) -> dict[str, DataFrame]:
     """pages: document_id, page, text (anonymised; null for a failed page).
 
-    Tables: vsm (a row per document, with identity), fields (deduplicated), rejects, rejected_pages."""
+    Tables: vsm (a row per document, with identity), fields (deduplicated), rejects, rejected_pages,
+    report (of the language model).  What is used several times is persisted: call `release` when done."""
     docs, page_map = P.joined_text(pages), P.page_map(pages)
-    if ENGINES[options.engine.lower()] == "ner":
-        if provider is None:
-            raise ValueError("this engine needs a provider")
+    engine, report = ENGINES[options.engine.lower()], None
+    if engine != "rules" and provider is None:
+        raise ValueError("this engine needs a provider")
+    if engine == "llm":
+        answers = S.llm_answers(docs, provider).persist(StorageLevel.MEMORY_AND_DISK)  # a model is asked once
+        fields, rejects, report = llm_fields(docs, answers)
+        bad = None
+    elif engine == "ner":
         fields, rejects, bad = entity_fields(docs, page_map, E.with_provider(docs, provider), options)
     else:
-        fields = sections.extract_rules(docs).withColumn("origine", F.lit("regles")).withColumn("mention_contexte", F.lit(None).cast("string")).select(*FIELDS)
-        rejects = bad = None
+        fields, rejects, bad = rule_fields(docs), None, None
     located = P.page_of(fields, page_map, "offset_debut").persist(StorageLevel.MEMORY_AND_DISK)
     headers = P.repeated_headers(located, page_map)
     coded = codes.attach_codes(P.without_headers(located, headers))
@@ -86,4 +127,9 @@ def summarize(pages: DataFrame, options: Options = Options(), provider: Callable
     vsm = A.assemble(unique.select("document_id", "section", "ord", *shown), docs)
     vsm = vsm.join(A.identity(docs), "document_id")
     repeated = headers.select("document_id", F.col("forme").alias("valeur"), F.lit("P6_entete_repete").alias("regle"), F.col("pages").cast("string").alias("detail"), F.lit(None).cast("int").alias("offset_debut"))
-    return {"vsm": vsm, "fields": unique, "rejects": repeated if rejects is None else rejects.unionByName(repeated), "rejected_pages": bad}
+    return {"vsm": vsm, "fields": unique, "rejects": repeated if rejects is None else rejects.unionByName(repeated), "rejected_pages": bad, "report": report}
+
+
+def release(result: DataFrame | None = None, spark=None) -> None:
+    """Frees what `summarize` keeps, once its tables are written."""
+    (spark or result.sparkSession).catalog.clearCache()

@@ -229,3 +229,65 @@ def with_provider(docs: DataFrame, provider, text_col: str = "text") -> DataFram
 def augment(base: DataFrame, extra: DataFrame, keys: tuple[str, ...] = ("document_id", "valeur", "section")) -> DataFrame:
     """base and the rows of extra whose key it does not have."""
     return base.unionByName(extra.join(base.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+#: The complement model's labels by section, and those it is not asked for.
+COMPLEMENT_SECTIONS = {
+    "Disease": "pathologies_actives", "Medication/Vaccine": "traitements_long_cours", "MedicalProcedure": "antecedents",
+    "Symptom": "points_vigilance", "CW": "traitements_long_cours",
+}
+COMPLEMENT_IGNORED = ("AnatomicalStructure", "PROD", "GRP", "LOC", "ORG", "PER")
+
+
+def complement_fields(found: DataFrame) -> DataFrame:
+    """Fields of a complement model's entities (document_id, label, texte, debut, fin,
+    score) whose label has a section; the others, ignored ones among them, go."""
+    names = F.create_map(*(F.lit(x) for kv in COMPLEMENT_SECTIONS.items() for x in kv))
+    rows = found.where(~F.col("label").isin(*COMPLEMENT_IGNORED)).withColumn("section", F.try_element_at(names, F.col("label")))
+    return rows.where("section is not null").select(
+        "document_id", "section", F.col("texte").alias("valeur"), F.col("score").alias("confiance"), F.col("texte").alias("passage"),
+        F.col("debut").alias("offset_debut"), F.col("fin").alias("offset_fin"),
+    )
+
+
+WINDOW_TOKENS, STRIDE, SPECIAL_TOKENS = 512, 64, 2
+
+
+def windows(n: int, size: int = WINDOW_TOKENS, stride: int = STRIDE, special: int = SPECIAL_TOKENS) -> list[tuple[int, int]]:
+    """Token ranges of overlapping windows: `size` tokens with the special ones,
+    `stride` shared by neighbours; the last one ends with the text."""
+    room = size - special
+    if not 0 <= stride < room:
+        raise ValueError("a window must be longer than what it shares")
+    out = [(0, min(n, room))]
+    while out[-1][1] < n:
+        a = out[-1][1] - stride
+        out.append((a, min(n, a + room)))
+    return out
+
+
+def windowed_entities(docs: DataFrame, provider, size: int = WINDOW_TOKENS, stride: int = STRIDE, text_col: str = "text") -> DataFrame:
+    """Entities (document_id, label, texte, debut, fin, score) of texts of any
+    length from a token classifier: windows are labelled apart, decoded apart, and
+    the mentions that a window's edge cut are stitched.
+
+    provider() is made once per worker: (tokenize, label), where tokenize(text) gives the
+    tokens' (start, end) and label(text, offsets) a (type or None, score, is_b) for each."""
+
+    def run(batches):
+        import pandas as pd
+
+        tokenize, label = provider()
+        for b in batches:
+            rows = []
+            for d, t in zip(b["document_id"], b["text"]):
+                offsets = tokenize(t or "")
+                for w, (a, e) in enumerate(windows(len(offsets), size, stride)):
+                    part = offsets[a:e]
+                    rows += [(d, w, x, y, *told) for (x, y), told in zip(part, label(t or "", part))]
+            yield pd.DataFrame(rows, columns=["document_id", "window", "start", "end", "type", "score", "is_b"])
+
+    tokens = docs.select("document_id", F.col(text_col).alias("text")).mapInPandas(
+        run, "document_id string, window int, start int, end int, type string, score double, is_b boolean"
+    )
+    return stitch(decode_bio(tokens, window="window"), docs, text_col)

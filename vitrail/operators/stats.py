@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrail.functions.fuzzy import word_error_rate_col
 from vitrail.functions.text import normalize
+from vitrail.schemas import SECTIONS
 
 MIN_COUNT = 5
 
@@ -83,3 +84,25 @@ def weighted_mean(pairs: Column) -> Column:
         pairs, init, lambda a, p: F.struct((a["s"] + p["score"] * p["weight"]).alias("s"), (a["w"] + p["weight"]).alias("w")),
         lambda a: F.when(a["w"] > 0, a["s"] / a["w"]),
     )
+
+
+def codes_by_system(vsm: DataFrame, limit: int = 10, least: int = MIN_COUNT) -> DataFrame:
+    """(systeme, code, libelle, n, masque): the most frequent codes of each system
+    in the summaries' sections, ranked before small counts become null."""
+    items = F.flatten(F.array(*(F.transform(s, lambda x: x["code_normalise"]) for s in SECTIONS)))
+    coded = vsm.select(F.explode(items).alias("c")).where("c.code <> ''")
+    counts = coded.groupBy("c.systeme", "c.code", F.coalesce("c.libelle_officiel", F.lit("")).alias("libelle")).agg(F.count(F.lit(1)).alias("_n"))
+    # a system's codes are a fixed list
+    rank = F.row_number().over(Window.partitionBy("systeme").orderBy(F.desc("_n"), "code", "libelle"))
+    return counts.withColumn("_r", rank).where(F.col("_r") <= limit).select("systeme", "code", "libelle", masked(F.col("_n"), least).alias("n"), (F.col("_n") < least).alias("masque"))
+
+
+def benchmark_report(rows: DataFrame) -> DataFrame:
+    """(engine, preprocessing, cer, wer, time_sec, runs, gain): means of the runs
+    without error, and by how much of its error each beats the same engine's other setting.
+
+    rows: engine, preprocessing, cer, wer, time_sec and perhaps error."""
+    means = benchmark_means(rows, ["engine", "preprocessing"], ["cer", "wer", "time_sec"])
+    other = means.select(F.col("engine").alias("_e"), (~F.col("preprocessing")).alias("_p"), F.col("cer").alias("_cer"))
+    both = means.join(other, (F.col("engine") == F.col("_e")) & (F.col("preprocessing") == F.col("_p")), "left")
+    return both.select(*means.columns, F.when(F.col("_cer") > 0, F.round(1 - F.col("cer") / F.col("_cer"), 4)).alias("gain"))

@@ -96,13 +96,17 @@ def _verdict(norm: Column, v: Column, p: Column, low: Column, q: Column, section
     return F.struct(rejet.alias("rejet"), target.alias("section"), C.mention(q).alias("mention"))
 
 
+def judged(candidates: DataFrame, text_col: str = "text") -> DataFrame:
+    """Candidates with their verdict `_v`: struct<rejet,section,mention>."""
+    norm = F.col("text_norm") if "text_norm" in candidates.columns else None
+    v = verdict(F.col(text_col), F.col("valeur"), F.col("passage"), F.col("section"), F.col("offset_debut"), norm)
+    return candidates.withColumn("_v", v).drop("text_norm")
+
+
 def validate(candidates: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(kept, rejects) of candidates with their document's text (and text_norm, if
     they have it); kept + rejects = input."""
-    norm = F.col("text_norm") if "text_norm" in candidates.columns else None
-    c = candidates.withColumn(
-        "_v", verdict(F.col(text_col), F.col("valeur"), F.col("passage"), F.col("section"), F.col("offset_debut"), norm)
-    ).drop("text_norm")
+    c = judged(candidates, text_col)
     kept = (
         c.where("_v.rejet is null").withColumn("section", F.col("_v.section")).withColumn("mention_contexte", F.col("_v.mention"))
         .withColumn("valeur", F.trim("valeur")).drop("_v", text_col)
