@@ -223,9 +223,9 @@ def pii_count_by_type(spark, sf_dir):
     return kinds.join(s, F.col("kind") == F.col("pii_type"), "left").select(F.col("kind").alias("pii_type"), F.when((n == 0) | (n >= stats.MIN_COUNT), n).alias("n"), ((n > 0) & (n < stats.MIN_COUNT)).alias("masque"))
 
 
-IDENTIFIED = "Patient : Jean DUPONT né le 14/05/1956\nTél : 06 12 34 56 78, mail p{}@courriel.fr\nDr Sophie LENOIR RPPS : 10001234567\nRevu le 12/03/2024 : Jean DUPONT va bien."
-REDACTED = "Patient : [REDACTED:NOM_PERSONNE] né le [REDACTED:DATE_NAISSANCE]\nTél : [REDACTED:TELEPHONE], mail [REDACTED:EMAIL]\nDr [REDACTED:NOM_PERSONNE] RPPS : [REDACTED:RPPS]\nRevu le 12/03/2024 : [REDACTED:NOM_PERSONNE] va bien."
-TOKENED = "Patient : [PATIENT_001] né le [DATE_NAISSANCE_001]\nTél : [TEL_001], mail [EMAIL_001]\nDr [PATIENT_002] RPPS : [RPPS_001]\nRevu le 12/03/2024 : [PATIENT_001] va bien."
+IDENTIFIED = "Patient : Jean DUPONT né le 14/05/1956\nTél : 06 12 34 56 78, mail p{}@courriel.fr\nDr Sophie LENOIR, RPPS : 10001234567\nRevu le 12/03/2024 : Jean DUPONT va bien."
+REDACTED = "Patient : [REDACTED:NOM_PERSONNE] né le [REDACTED:DATE_NAISSANCE]\nTél : [REDACTED:TELEPHONE], mail [REDACTED:EMAIL]\nDr [REDACTED:NOM_PERSONNE], RPPS : [REDACTED:RPPS]\nRevu le 12/03/2024 : [REDACTED:NOM_PERSONNE] va bien."
+TOKENED = "Patient : [PATIENT_001] né le [DATE_NAISSANCE_001]\nTél : [TEL_001], mail [EMAIL_001]\nDr [PATIENT_002], RPPS : [RPPS_001]\nRevu le 12/03/2024 : [PATIENT_001] va bien."
 
 
 def _filled(template: str) -> Column:
