@@ -16,6 +16,7 @@ from vitrail.functions import terminology as T
 from vitrail.functions import text as X
 from vitrail.functions.fuzzy import partial_ratio_col, ratio_col, token_set_ratio_col
 from vitrail.operators import assemble, audit, codes, context, dedup, entities, lexical, pages, pii, sections, segments, spans, stats, store, validate
+from vitrail.sources import files
 from vitrail.sources.files import synthetic_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,9 +494,19 @@ def section_zones(spark, sf_dir):
     return sections.section_zones(spark.createDataFrame(ZONED, "document_id string, text string"))
 
 
-@query()
+SECTIONED = "ALLERGIES : Pénicilline, dossier {}.\nTRAITEMENTS : Ramipril 5 mg; Doliprane\nCONCLUSION : revoir"
+
+
+@query("""WITH d AS (SELECT doc_id, 'Pénicilline, dossier ' || doc_id AS a FROM documents), r AS (
+    SELECT doc_id, 'allergies' AS section, a AS valeur, 0.8 AS confiance, 12 AS debut FROM d
+    UNION ALL SELECT doc_id, 'traitements_long_cours', 'Ramipril 5 mg', 0.88, 12 + length(a) + 16 FROM d
+    UNION ALL SELECT doc_id, 'traitements_long_cours', 'Doliprane', 0.6, 12 + length(a) + 31 FROM d)
+    SELECT doc_id, section, valeur, CAST(confiance AS DOUBLE) AS confiance, CAST(debut AS INT) AS offset_debut, CAST(debut + length(valeur) AS INT) AS offset_fin FROM r""")
 def section_items_scored(spark, sf_dir):
-    return sections.scored_items(sections.section_zones(synthetic_cases(spark)))
+    """Zones, items and their confidences in a report of each document's own."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), _filled(SECTIONED).alias("text"))
+    found = sections.scored_items(sections.section_zones(d))
+    return found.select(F.col("document_id").cast("long").alias("doc_id"), "section", "valeur", F.round("confiance", 2).alias("confiance"), "offset_debut", "offset_fin")
 
 
 @query()
@@ -847,6 +858,55 @@ def breaker_open(spark, sf_dir):
     return audit.breaker_open(e, key="user_id", order="event_id").select("user_id", "event_id", "open")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(event_id % 4 AS VARCHAR) AS job_id, event_id, event_type IN ('signup', 'click', 'view') AS starts, row_number() OVER (PARTITION BY user_id ORDER BY event_id, CAST(event_id % 4 AS VARCHAR)) AS k FROM events),
+    f AS (SELECT user_id, k, event_id, CASE WHEN starts THEN job_id ELSE '' END AS running, starts AS accepte FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN e.starts AND f.running = '' THEN e.job_id WHEN NOT e.starts AND f.running = e.job_id THEN '' ELSE f.running END,
+            CASE WHEN e.starts THEN f.running IN ('', e.job_id) ELSE f.running = e.job_id END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+    SELECT user_id, event_id, accepte FROM f""")
+def one_active_job(spark, sf_dir):
+    """Events as jobs of a user's document: what starts while another runs is refused."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type").isin("signup", "click", "view"), "processing").otherwise("done")
+    jobs = e.select("user_id", (F.col("event_id") % 4).cast("string").alias("job_id"), F.col("event_id").alias("ts"), status.alias("status"))
+    return audit.job_verdicts(jobs, key="user_id").select("user_id", F.col("ts").alias("event_id"), "accepte")
+
+
+@query("""WITH m AS (SELECT CAST(l_linenumber AS VARCHAR) AS engine, l_returnflag = 'N' AS preprocessing, round(avg(CAST(l_discount AS DOUBLE)), 4) AS cer, round(avg(CAST(l_tax AS DOUBLE)), 4) AS wer,
+        round(avg(CAST(l_quantity AS DOUBLE)), 4) AS time_sec, count(*) AS runs FROM lineitem GROUP BY 1, 2)
+    SELECT m.*, round(1 - m.cer / o.cer, 4) AS gain FROM m LEFT JOIN m o ON o.engine = m.engine AND o.preprocessing <> m.preprocessing AND o.cer > 0""")
+def benchmark_gain(spark, sf_dir):
+    """Means by engine and setting, and by how much each setting beats the other."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").cast("string").alias("engine"), (F.col("l_returnflag") == "N").alias("preprocessing"), F.col("l_discount").cast("double").alias("cer"),
+        F.col("l_tax").cast("double").alias("wer"), F.col("l_quantity").cast("double").alias("time_sec"),
+    )
+    return stats.benchmark_report(rows)
+
+
+@query("SELECT conv_id AS document_id, CAST(floor(turn / 20) AS INT) AS lot, count(*) AS pages FROM conversations GROUP BY 1, 2")
+def page_batches(spark, sf_dir):
+    """Pages in batches of twenty, each to be read apart."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page"))
+    return files.page_batches(c).groupBy("document_id", "lot").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(string_split_regex(url, '[/\\]')[-1], '[^A-Za-z0-9._-]+', '_', 'g'), '^\.+', ''), ''), 'document') AS nom FROM pages""")
+def safe_file_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.safe_name(F.col("url")).alias("nom"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, CASE event_type WHEN 'click' THEN 'pathologies_actives' WHEN 'purchase' THEN 'traitements_long_cours' WHEN 'signup' THEN 'points_vigilance' END AS section, n
+    FROM f WHERE event_type IN ('click', 'purchase', 'signup')""")
+def complement_sections(spark, sf_dir):
+    """Entities of a complement model by section; labels it is not asked for go."""
+    names = F.create_map(*(F.lit(x) for kv in (("click", "Disease"), ("purchase", "CW"), ("signup", "Symptom"), ("view", "PER")) for x in kv))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("document_id"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("?")).alias("label"), F.lit("x").alias("texte"), F.lit(0).alias("debut"), F.lit(1).alias("fin"), F.col("value").alias("score")
+    )
+    return entities.complement_fields(e).groupBy(F.col("document_id").alias("user_id"), "section").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 10")
 def latest_entries(spark, sf_dir):
     return audit.latest(table(spark, sf_dir, "orders"), "o_orderkey", 10)
@@ -909,9 +969,15 @@ def segment_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", spans.let(s, lambda x: F.struct(F.size(x).alias("n"), F.array_max(F.transform(x, F.length)).alias("longest"))).alias("s")).select("doc_id", "s.*")
 
 
-@query()
+NAMED = "Patient [PATIENT_001] puis [PATIENT_002], né le [DATE_NAISSANCE_001]\nsexe : M, dossier {}, vu par [RPPS_001]"
+
+
+@query("""SELECT doc_id, '[PATIENT_001]' AS identite, '[DATE_NAISSANCE_001]' AS date_naissance, CAST(NULL AS VARCHAR) AS ins, '[RPPS_001]' AS rpps, CAST(NULL AS VARCHAR) AS adeli, 'H' AS sexe FROM documents""")
 def identity_fields(spark, sf_dir):
-    return assemble.identity(pii.anonymize(synthetic_cases(spark)).select("document_id", "text"))
+    """The first pseudonym of each kind in a report of each document's own."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), _filled(NAMED).alias("text"))
+    i = assemble.identity(d)
+    return i.select(F.col("document_id").cast("long").alias("doc_id"), "identite", "date_naissance", "ins", "rpps", "adeli", "sexe")
 
 
 @query("SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) UNION ALL SELECT -1, o_custkey FROM orders")
