@@ -107,3 +107,24 @@ def line_rebuild(words: DataFrame, keys: tuple[str, ...] = ("document_id", "page
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "par", "line", "t"))), lambda x: x["t"]), "\n")
     return lines.groupBy(*keys).agg(body.alias("text"), F.coalesce(F.round(F.sum("c") / F.sum("n"), 3), F.lit(0.0)).alias("confidence"))
+
+
+def merge_intervals(df: DataFrame, key: str) -> DataFrame:
+    """(key, debut, fin): union of strictly overlapping intervals by key: islands over the running end."""
+    w = Window.partitionBy(key).orderBy("debut", "fin")
+    before = F.max("fin").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    n = F.sum(F.coalesce(F.col("debut") >= F.col("_e"), F.lit(True)).cast("int")).over(w)
+    return df.withColumn("_e", before).withColumn("_n", n).groupBy(key, "_n").agg(F.min("debut").alias("debut"), F.max("fin").alias("fin")).drop("_n")
+
+
+def without_overlaps(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """`rows` (key, debut, fin) that no span of the same key overlaps.  The spans are
+    merged first, and each row meets the last one that begins before its end, by one
+    sort, so a key with many of both costs no more than its rows."""
+    merged = merge_intervals(spans.select(key, "debut", "fin"), key).select(key, F.col("debut").alias("_at"), F.col("fin").alias("_until"))
+    marks = rows.withColumn("_at", F.col("fin")).withColumn("_until", F.lit(None).cast(merged.schema["_until"].dataType))
+    both = marks.unionByName(merged, allowMissingColumns=True)
+    # a span that begins where a row ends does not overlap it: rows come first there
+    w = Window.partitionBy(key).orderBy("_at", F.col("_until").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("_last", F.max("_until").over(w)).where("_until is null")
+    return told.where(F.col("_last").isNull() | (F.col("_last") <= F.col("debut"))).select(*rows.columns)

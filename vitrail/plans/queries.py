@@ -394,15 +394,7 @@ def label_runs(spark, sf_dir):
 @query("""WITH i AS (SELECT user_id, event_id AS s, event_id + 60 AS e FROM events), p AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM i),
     g AS (SELECT *, sum(CAST(pe IS NULL OR s >= pe AS INT)) OVER (PARTITION BY user_id ORDER BY s) AS n FROM p) SELECT user_id, min(s) AS debut, max(e) AS fin FROM g GROUP BY user_id, n""")
 def interval_merge(spark, sf_dir):
-    return merge_intervals(_events(spark, sf_dir).select("user_id", F.col("event_id").cast("long").alias("debut"), (F.col("event_id").cast("long") + 60).alias("fin")), "user_id")
-
-
-def merge_intervals(df: DataFrame, key: str) -> DataFrame:
-    """Union of strictly overlapping intervals by key: islands over the running end."""
-    w = Window.partitionBy(key).orderBy("debut", "fin")
-    before = F.max("fin").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    n = F.sum(F.coalesce(F.col("debut") >= F.col("_e"), F.lit(True)).cast("int")).over(w)
-    return df.withColumn("_e", before).withColumn("_n", n).groupBy(key, "_n").agg(F.min("debut").alias("debut"), F.max("fin").alias("fin")).drop("_n")
+    return pages.merge_intervals(_events(spark, sf_dir).select("user_id", F.col("event_id").cast("long").alias("debut"), (F.col("event_id").cast("long") + 60).alias("fin")), "user_id")
 
 
 @query("""SELECT e.user_id, e.event_id FROM events e WHERE e.event_type = 'click' AND NOT EXISTS (
@@ -410,10 +402,9 @@ def merge_intervals(df: DataFrame, key: str) -> DataFrame:
 def anti_join_tokens(spark, sf_dir):
     """Range anti-join: clicks that no error's span overlaps."""
     e = _events(spark, sf_dir)
-    t = e.where("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("event_id").alias("a"), (F.col("event_id") + 30).alias("b"))
-    c = e.where("event_type = 'click'")
-    hit = (F.col("user_id") == F.col("u")) & (F.col("a") < F.col("event_id") + 30) & (F.col("event_id") < F.col("b"))
-    return c.join(t, hit, "left_anti").select("user_id", F.col("event_id").cast("long"))
+    span = (F.col("event_id").alias("debut"), (F.col("event_id") + 30).alias("fin"))
+    clicks, errors = (e.where(F.col("event_type") == k).select("user_id", *span) for k in ("click", "error"))
+    return pages.without_overlaps(clicks, errors, "user_id").select("user_id", F.col("debut").cast("long").alias("event_id"))
 
 
 CONTEXTS = [

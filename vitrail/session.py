@@ -21,8 +21,8 @@ def get_session(app: str = "vitrail", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors if they could not import it otherwise,
-    once per application."""
+    """Sends this package to the executors, once per application; on a local
+    master only if the driver's own path doesn't show it to the workers."""
     import os
     import tempfile
     import zipfile
@@ -30,10 +30,9 @@ def ship(spark: SparkSession) -> None:
 
     package = Path(__file__).resolve().parent
     root = str(package.parent)
-    if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
     sc = spark.sparkContext
-    if getattr(sc, "_vitrail_shipped", False):
+    here = os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(sc, "_vitrail_shipped", False) or here and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="vitrail-"), "vitrail.zip")
     with zipfile.ZipFile(path, "w") as z:
