@@ -70,3 +70,22 @@ def flagged(rows: DataFrame, key: Column, stored_keys: DataFrame, their_key: Col
     those of `stored_keys`, a stored table."""
     bits = log2_bits_for(stored_keys.count())
     return tested(rows, key, frames(all_slots(stored_keys, their_key, bits), name), bits)
+
+
+def settled(rows: DataFrame, narrow: DataFrame, key: Column, drop: DataFrame, their_key: Column, same: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, open) of `rows`: those surely not in `drop`, and the few that must be
+    joined with it; all others are in it.  Only keys are shuffled for that.
+
+    A second filter holds what the first one flags by mistake: a flagged row that is
+    not in it is to be dropped.  narrow: the key columns of `rows`; drop: a stored table;
+    `same` joins narrow (or rows) with drop."""
+    bits = log2_bits_for(drop.count())
+    first = frames(all_slots(drop, their_key, bits), f"{name}-1")
+    mistaken = tested(narrow, key, first, bits).where("maybe").join(drop, same, "left_anti").select(key.alias("k")).distinct()
+    mistaken = written(mistaken, f"{name}-mistaken")
+    fewer = log2_bits_for(mistaken.count())
+    second = frames(all_slots(mistaken, F.col("k"), fewer), f"{name}-2")
+    flagged_ = tested(rows, key, first, bits).withColumnRenamed("maybe", "_first")
+    told = tested(flagged_, key, second, fewer)
+    columns = rows.columns
+    return told.where(~F.col("_first")).select(*columns), told.where(F.col("_first") & F.col("maybe")).select(*columns)

@@ -37,17 +37,20 @@ def repeat_filter(digests: DataFrame, digest: Column, log2_bits: int) -> DataFra
 
 
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, summary): rows of the stored digests with boolean `maybe`, and the
-    digests that `maybe` rows share: _sha in hex, keep_id, group_size."""
+    """(rows, counts): the stored digests (doc_id, sha) with boolean `maybe`, and the rows
+    of each digest and id that `maybe` rows have: sha, doc_id, n."""
     base = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("sha"))
     base = written(base, "exact-digests")
     bits = bloom.log2_bits_for(base.count()) if log2_bits is None else log2_bits
     rows = bloom.tested(base, F.xxhash64("sha"), repeat_filter(base, F.col("sha"), bits), bits)
-    # The join key is not the grouping key: the summary then gets an exchange of
-    # its own, and AQE can split a hot digest on the side of the rows.
-    by_id = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    summary = by_id.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return rows, summary.select(F.hex("sha").alias("_sha"), "keep_id", "group_size")
+    return rows, rows.where("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _summary(counts: DataFrame) -> DataFrame:
+    """(_sha in hex, keep_id, group_size).  The join key is not the grouping key: the
+    summary then gets an exchange of its own, and AQE can split a hot digest on the side of the rows."""
+    summary = counts.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return summary.select(F.hex("sha").alias("_sha"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int | None = None) -> DataFrame:
@@ -59,7 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that id as keep_id and are marked kept (`without_copies` leaves one of them).
     An empty table gives an empty result; other columns are not read.
     """
-    rows, summary = digest_groups(docs, id_col, text_col, log2_bits)
+    rows, counts = digest_groups(docs, id_col, text_col, log2_bits)
+    summary = _summary(counts)
     text_sha256 = F.lower(F.hex("sha")).alias("text_sha256")
     single = rows.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256
@@ -73,14 +77,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of every text: the one `exact_dedup` keeps, once.
 
-    A text moves only if its digest may be a repeated one."""
-    _, summary = digest_groups(docs, id_col, text_col)
-    groups = written(summary.where("group_size > 1").select(F.unhex("_sha").alias("_group"), F.col("keep_id").alias("_keep")), "exact-groups")
-    rows = docs.withColumn("_sha", digest_of(F.col(text_col)))
-    rows = bloom.flagged(rows, F.xxhash64("_sha"), groups, F.xxhash64("_group"), "exact-groups-filter")
-    apart = rows.where(~F.col("maybe"))
-    met = rows.where("maybe").join(groups, F.hex("_sha") == F.hex("_group"), "left")
-    false_alarms = met.where("_group is null")
-    kept = met.where(F.col("_group").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates(["_group"])
-    columns = docs.columns
-    return apart.select(*columns).unionByName(false_alarms.select(*columns)).unionByName(kept.select(*columns))
+    Digests are shuffled, texts are not, but for those few that the filters can't settle."""
+    rows, counts = digest_groups(docs, id_col, text_col)
+    fates = counts.join(_summary(counts), F.hex("sha") == F.col("_sha"))
+    gone = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    fates = fates.where(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_digest"), gone.alias("_gone"))
+    fates = written(fates, "exact-fates")
+    gone, again = written(fates.where("_gone"), "exact-gone"), fates.where("not _gone")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
+    key, their_key = F.xxhash64("_doc", "_sha"), F.xxhash64("_id", "_digest")
+    told = docs.withColumn("_doc", F.col(id_col)).withColumn("_sha", digest_of(F.col(text_col)))
+    narrow = rows.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"))
+    kept, open_ = bloom.settled(told, narrow, key, gone, their_key, same, "exact-filter")
+    left = kept.unionByName(open_.join(gone, same, "left_anti"))
+    # rows that repeat: mostly there are none
+    if again.limit(1).count():
+        marked = bloom.flagged(left, key, written(again, "exact-again"), their_key, "exact-again-filter")
+        left = marked.where(~F.col("maybe")).drop("maybe").unionByName(marked.where("maybe").drop("maybe").dropDuplicates(["_doc", "_sha"]))
+    return left.select(*docs.columns)

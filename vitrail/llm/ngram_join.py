@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
+from vitrail.llm import bloom
 from vitrail.llm.components import components, local_stars
 from vitrail.llm.scratch import spread, written
 from vitrail.llm.textscan import Scan
@@ -361,10 +362,11 @@ def ngram_join(
     member = candidates.join(first, candidates["node"] == first["sid"]).select("sid", "root", "first_id", "n")
     shape = member.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
     shape = shape.withColumn("large", (F.col("m") > CHUNK_SETS) | (F.col("tokens") > CELL_TOKENS))
-    placed = member.join(shape, F.col("root") == F.col("r")).drop("r")
-    # the same plan at every size: `placed` grows with the corpus, so it is never broadcast
+    placed = written(member.join(shape, F.col("root") == F.col("r")).drop("r"), "ngram-placed")
+    # `placed` grows with the corpus, so it is never broadcast; only texts that may be in it move
+    near = bloom.flagged(named, F.xxhash64("doc_id"), placed, F.xxhash64("first_id"), "ngram-filter").where("maybe")
     texts = written(
-        named.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select("sid", "root", "m", "tokens", "large", "text"),
+        near.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select("sid", "root", "m", "tokens", "large", "text"),
         "ngram-texts",
     )
 
