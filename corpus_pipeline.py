@@ -42,12 +42,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents, the one with the smallest doc_id stays.
 
-    Rows without id or words are linked with nothing and stay.  Only documents
-    that a Bloom filter of the ids to drop lets through are shuffled."""
+    Rows without id or words are linked with nothing and stay.  Ids are
+    shuffled, texts are not, but for those few that the filters can't settle."""
     linked = written(ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    rows = bloom.flagged(docs, F.xxhash64(F.col("doc_id").cast("long")), linked, F.xxhash64("_id"), "near-copies-filter")
-    told = rows.where("maybe").join(linked, F.col("doc_id") == F.col("_id"), "left_anti")
-    return rows.where(~F.col("maybe")).select(*docs.columns).unionByName(told.select(*docs.columns))
+    told = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    key, their_key, same = F.xxhash64("_doc"), F.xxhash64("_id"), F.col("_doc") == F.col("_id")
+    kept, open_ = bloom.settled(told, told.select("_doc"), key, linked, their_key, same, "near-filter")
+    return kept.unionByName(open_.join(linked, same, "left_anti")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
