@@ -169,3 +169,8 @@ def test_synthetic_dataset_and_detail_rows(spark):
     assert [r.n for r in names.collect()] == ["_c_.pdf", "document", "x.pdf"]
     pages = spark.createDataFrame([("d", i) for i in range(1, 46)], "document_id string, page int")
     assert [r["count"] for r in files.page_batches(pages).groupBy("lot").count().orderBy("lot").collect()] == [20, 20, 5]
+
+
+@pytest.mark.parametrize("name,want", [(None, "ner"), ("drbert", "ner"), ("llm", "llm"), ("regles", "rules"), ("rules", "rules"), ("REGLES", "rules"), ("nimporte", "ner")])
+def test_engine_names(name, want):
+    assert chain.engine_of(name) == want

@@ -15,6 +15,14 @@ from vitrail.operators import entities as E
 from vitrail.operators.spans import sub
 
 ENGINES = {"rules": "rules", "regles": "rules", "drbert": "ner", "ner": "ner", "encoder": "ner", "llm": "llm", "hybride": "llm"}
+DEFAULT_ENGINE = "drbert"
+
+
+def engine_of(name: str | None) -> str:
+    """The engine that a setting names, in any case; the default for none or one that there is not."""
+    return ENGINES.get((name or DEFAULT_ENGINE).lower(), ENGINES[DEFAULT_ENGINE])
+
+
 FIELDS = ["document_id", "section", "valeur", "confiance", "passage", "offset_debut", "origine", "mention_contexte"]
 
 
@@ -104,7 +112,7 @@ def summarize(pages: DataFrame, options: Options = Options(), provider: Callable
     Tables: vsm (a row per document, with identity), fields (deduplicated), rejects, rejected_pages,
     report (of the language model).  What is used several times is persisted: call `release` when done."""
     docs, page_map = P.joined_text(pages), P.page_map(pages)
-    engine, report = ENGINES[options.engine.lower()], None
+    engine, report = engine_of(options.engine), None
     if engine != "rules" and provider is None:
         raise ValueError("this engine needs a provider")
     if engine == "llm":

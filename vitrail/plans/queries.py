@@ -407,49 +407,81 @@ def anti_join_tokens(spark, sf_dir):
     return pages.without_overlaps(clicks, errors, "user_id").select("user_id", F.col("debut").cast("long").alias("event_id"))
 
 
+def _cases(spark, sf_dir, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """doc_id and the fields of the case that the document is given, by its id."""
+    kind = F.pmod(F.col("doc_id"), F.lit(len(rows))).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", *(F.get(F.array(*(F.lit(r[i]).cast("string") for r in rows)), kind).alias(n) for i, n in enumerate(names))
+    )
+
+
+def _cases_sql(rows: list[tuple], at: int, name: str) -> str:
+    return f"SELECT doc_id, v.{name} FROM documents JOIN {values([(i, r[at]) for i, r in enumerate(rows)], f'i, {name}')} ON doc_id % {len(rows)} = i"
+
+
+#: Text, entity, and how its context qualifies it.
 CONTEXTS = [
-    (1, "Pas de signe de ", "malignite"), (2, "sans anomalie decelee, et qui lui prescrit du ", "CLAMOXYL"), (3, "il n'est pas exclu un ", "abces"),
-    (4, "antecedents familiaux de ", "mort subite"), (5, "suspicion de ", "phlebite"), (6, "Pas de fievre. Douleur ", "thoracique"),
-    (7, "absence de lesion expliquant cette ", "douleur"), (8, "patient suivi pour ", "HTA"), (9, "risque de ", "chute"), (10, "aucun ", "nodule"),
+    ("Pas de fièvre. Douleur thoracique", "Douleur", "aucun"), ("IL n'est pas exclu qu'il se soit agi d'un abcès", "abcès", "nuance"),
+    ("sans anomalie décelée, et qui lui prescrit du CLAMOXYL", "CLAMOXYL", "aucun"), ("Absence de signe de malignité", "malignité", "niee"),
+    ("pas de signe d'IVG ni de phlébite", "phlébite", "niee"), ("antécédents familiaux de mort subite", "mort subite", "familial"),
+    ("pas d’éléments pour expliquer cette symptomatologie", "symptomatologie", "aucun"), ("suspicion de phlébite", "phlébite", "hypothetique"),
+    ("patient suivi pour HTA", "HTA", "aucun"),
 ]
 
 
-@query(rf"""SELECT id, CASE WHEN regexp_matches(c, '{(neg := r"(?i)\b(?:pas\s+de|absence\s+de|aucune?\s|sans\s)")}') AND NOT regexp_matches(string_split_regex(c, '{neg}')[-1], '(?i)[,;]|\b(?:et|ou)\b')
-        AND NOT regexp_matches(c, '(?i)\b(?:ce|cet|cette|son|sa|ses|leur|leurs)\s*$') THEN 'niee' WHEN regexp_matches(c, '(?i)\bfamiliaux?\b') THEN 'familial'
-        WHEN regexp_matches(c, '(?i)\b(risques?\s+de|suspicion\s+de)\b') THEN 'hypothetique' WHEN regexp_matches(c, '(?i)\b(?:n[ie]\s|exclu)') THEN 'nuance' ELSE 'aucun' END AS verdict
-    FROM (SELECT id, string_split_regex(avant, '[.;:\n\r]|\s{{4,}}')[-1] AS c FROM {values(CONTEXTS, "id, avant, entite")})""")
+@query(_cases_sql(CONTEXTS, 2, "verdict"))
 def context_verdicts(spark, sf_dir):
-    df = spark.createDataFrame(CONTEXTS, "id int, avant string, entite string")
-    q = context.qualify(F.concat("avant", "entite"), F.length("avant"))
-    return df.select("id", context.verdict(q).alias("verdict"))
+    c = _cases(spark, sf_dir, CONTEXTS, ("t", "e", "want"))
+    q = context.qualify(F.col("t"), F.call_function("locate", F.col("e"), F.col("t")) - 1)
+    return c.select("doc_id", context.verdict(q).alias("verdict"))
 
 
+#: Label, context, title, entity, and the section it goes to.
 ROUTES = [
-    (1, "treatment", "allergie a la penicilline", None, "penicilline"), (2, "treatment", "vaccin antitetanique", None, "vaccin antitetanique"),
-    (3, "treatment", "transfusion", None, "transfusion"), (4, "treatment", "cholecystectomie", None, "cholecystectomie"), (5, "treatment", "ogast", "antecedents", "ogast"),
-    (6, "treatment", "cure de 7 jours de clamoxyl", None, "clamoxyl"), (7, "treatment", "metformine", None, "metformine"), (8, "problem", "intolerance au lait", None, "lait"),
-    (9, "problem", "infarctus en 2003", None, "infarctus"), (10, "problem", "sous corticoides", None, "corticoides"), (11, "problem", "tabagisme actif", None, "tabagisme actif"),
-    (12, "problem", "ulcere", "facteurs_risque", "ulcere"), (13, "problem", "ulcere", None, "ulcere"), (14, "test", "hemoglobine", None, "hemoglobine"), (15, "autre", "x", None, "x"),
-]
+    ("treatment", "allergie à la", None, "", "allergies"),
+    ("treatment", "intolérance au", None, "", "allergies"),
+    ("treatment", "vaccination antigrippale", None, "", "vaccinations"),
+    ("treatment", "antécédent de", None, "", "antecedents"),
+    ("treatment", "opéré en 2003", None, "", "antecedents"),
+    ("treatment", "", "antecedents", "", "antecedents"),
+    ("treatment", "cure de 7 jours", None, "", "points_vigilance"),
+    ("treatment", "pendant 2 semaines", None, "", "points_vigilance"),
+    ("treatment", "traitement en cours", None, "", "traitements_long_cours"),
+    ("problem", "allergie à la", None, "", "allergies"),
+    ("problem", "intolérance au", None, "", "allergies"),
+    ("problem", "antécédent de", None, "", "antecedents"),
+    ("problem", "chirurgical", None, "", "antecedents"),
+    ("problem", "opéré en 2003", None, "", "antecedents"),
+    ("problem", "en 2003", None, "", "antecedents"),
+    ("problem", "", "antecedents", "", "antecedents"),
+    ("problem", "Tabagisme, consommation d'alcool", None, "Tabagisme", "facteurs_risque"),
+    ("problem", "poids 92 kg", None, "poids 92 kg", "pathologies_actives"),
+    ("problem", "activité physique réduite", None, "activité physique réduite", "facteurs_risque"),
+    ("problem", "sevrage tabagique progressif", None, "sténose urétrale", "pathologies_actives"),
+    ("problem", "", "facteurs_risque", "IMC 32", "facteurs_risque"),
+    ("problem", "douleur", None, "", "pathologies_actives"),
+    ("test", "", None, "", "points_vigilance"),
+    ("treatment", "excision du pertuis cutané", None, "excision du pertuis cutané", "antecedents"),
+    ("treatment", "", None, "cholécystectomie rétrograde", "antecedents"),
+    ("treatment", "", None, "Metformine", "traitements_long_cours"),
+]
+
+
+@query(_cases_sql(ROUTES, 4, "section"))
+def routing_table(spark, sf_dir):
+    c = _cases(spark, sf_dir, ROUTES, ("label", "c", "t", "v", "want"))
+    return c.select("doc_id", entities.route(F.col("label"), F.col("c"), F.col("t"), F.col("v")).alias("section"))
 
 
-@query(rf"""SELECT id, CASE label WHEN 'treatment' THEN CASE WHEN c ~ '.*(allergi|intoleran).*' THEN 'allergies' WHEN c ~ '.*vaccin.*' THEN 'vaccinations'
-        WHEN v ~ '.*transfusion.*' THEN 'points_vigilance' WHEN v ~ '.*ectomie.*' THEN 'antecedents' WHEN t = 'antecedents' OR c ~ '.*en (19|20)\d\d.*' THEN 'antecedents'
-        WHEN c ~ '.*cure de \d+ jours.*' THEN 'points_vigilance' ELSE 'traitements_long_cours' END
-    WHEN 'problem' THEN CASE WHEN c ~ '.*(allergi|intoleran).*' THEN 'allergies' WHEN t = 'antecedents' OR c ~ '.*en (19|20)\d\d.*' THEN 'antecedents'
-        WHEN v ~ '.*corticoid.*' THEN 'traitements_long_cours' WHEN t = 'facteurs_risque' OR v ~ '.*tabag.*' THEN 'facteurs_risque' ELSE 'pathologies_actives' END
-    WHEN 'test' THEN 'points_vigilance' ELSE 'pathologies_actives' END AS section
-    FROM (SELECT id, label, c, coalesce(t, '') AS t, v FROM {values(ROUTES, "id, label, c, t, v")})""")
-def routing_table(spark, sf_dir):
-    df = spark.createDataFrame(ROUTES, "id int, label string, c string, t string, v string")
-    return df.select("id", entities.route(F.col("label"), F.col("c"), F.col("t"), F.col("v")).alias("section"))
+#: A joined value, its offset, and its parts with theirs.
+JOINED = [("HTA Gastrite chronique", 100, "HTA@100-103|Gastrite chronique@104-122"), ("rien", 5, "rien@5-9")]
 
 
-@query()
+@query(_cases_sql(JOINED, 2, "parts"))
 def joined_items_split(spark, sf_dir):
-    rows = [(1, "HTA Gastrite chronique", 100), (2, "ulcère Bulbaire hernie Hiatale", 0), (3, "rien", 5)]
-    df = spark.createDataFrame(rows, "id int, v string, a int")
-    return df.select("id", F.explode(entities.split_joined(F.col("v"), F.col("a"))).alias("p")).select("id", "p.*")
+    c = _cases(spark, sf_dir, JOINED, ("v", "a", "want"))
+    part = lambda p: F.concat(p["value"], F.lit("@"), p["debut"].cast("string"), F.lit("-"), p["fin"].cast("string"))
+    return c.select("doc_id", F.array_join(F.transform(entities.split_joined(F.col("v"), F.col("a").cast("int")), part), "|").alias("parts"))
 
 
 DOSED = [(1, "OGAST 1 gél/j en permanence.", 5), (2, "RAMIPRIL 5 mg matin et soir", 8), (3, "HTA sévère", 3), (4, "X" + " matin" * 20, 1)]
