@@ -85,7 +85,7 @@ def llm_fields(docs: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFram
     text = docs.select("document_id", "text")
     candidates = S.llm_items(answers, docs).withColumn("valeur", F.trim("valeur"))
     kept, rejects = V.validate(candidates)
-    kept = lexical.correct(kept.withColumn("_row", F.monotonically_increasing_id()), "valeur", "_row")
+    kept = lexical.correct(kept.withColumn("_row", F.xxhash64("document_id", "valeur")), "valeur", "_row")  # equal values are corrected alike
     kept = kept.withColumn("passage", F.when(F.col("niveau") > 0, F.col("passage")).otherwise("")).withColumn("origine", F.lit("llm")).select(*FIELDS)
     with_items = kept.select("document_id").distinct()
     bare = answers.where(F.col("failed") | (F.size("items") == 0))

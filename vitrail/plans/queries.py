@@ -157,12 +157,19 @@ def strip_trailing(spark, sf_dir):
     return t.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2(F.encode("t", "UTF-8"), 256).alias("t_sha256"))
 
 
-@query(r"""SELECT event_id, regexp_replace(regexp_replace('user ' || lpad(CAST(user_id AS VARCHAR), 9, '1') || ' tel 0612345678 at u' || user_id || '@mail.example.fr',
-    '\b0[1-9](?:[\s.\-]?\d{2}){4}\b', '[TEL]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g') AS raw FROM events""".replace(
-    "SELECT event_id, ", "SELECT event_id, regexp_replace(").replace(" AS raw FROM", r", '\b\d{9}\b', '[NUM9]', 'g') AS line FROM"))
+LOG_LINE = ("user ", " tel 0612345678 at u", "@mail.example.fr nir 1 85 05 78 006 084 36 rpps 10001234567 de [PATIENT_001]")
+_LOG_RULES = ((r"\b[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}\b", "[NIR]"), (r"\b0[1-9](?:[\s.\-]?\d{2}){4}\b", "[TEL]"), (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[EMAIL]"),
+              (r"\b10\d{9}\b", "[RPPS]"), (r"\b\d{9}\b", "[NUM9]"), (r"\[(?:PATIENT|NIR|RPPS|TEL|EMAIL)_\d{3}\]", "[TOKEN]"))
+_LOG_SQL = f"'{LOG_LINE[0]}' || lpad(CAST(user_id AS VARCHAR), 9, '1') || '{LOG_LINE[1]}' || user_id || '{LOG_LINE[2]}'"
+for _rx, _kind in _LOG_RULES:
+    _LOG_SQL = f"regexp_replace({_LOG_SQL}, '{_rx}', '{_kind}', 'g')"
+
+
+@query(f"SELECT event_id, {_LOG_SQL} AS line FROM events")
 def log_redaction(spark, sf_dir):
+    """Log lines with an identifier of every kind."""
     u = F.col("user_id").cast("string")
-    line = F.concat(F.lit("user "), F.lpad(u, 9, "1"), F.lit(" tel 0612345678 at u"), u, F.lit("@mail.example.fr"))
+    line = F.concat(F.lit(LOG_LINE[0]), F.lpad(u, 9, "1"), F.lit(LOG_LINE[1]), u, F.lit(LOG_LINE[2]))
     return table(spark, sf_dir, "events").select("event_id", X.redact_log(line).alias("line"))
 
 
@@ -316,20 +323,28 @@ def page_report(spark, sf_dir):
     return pages.page_report(p).withColumn("anomalies", F.size("anomalies").cast("long"))
 
 
-@query("""SELECT l_partkey % 500 AS document_id, l_linenumber AS page, count(*) AS entites_supprimees, 'densite (' || count_if(l_returnflag = 'A') || ' traitements sur la page)' AS motif
-    FROM lineitem GROUP BY 1, 2 HAVING count_if(l_returnflag = 'A') > 10""")
+PAGE_TEXTS = ("Antibiogramme : amoxicilline résistant", "Compte rendu de consultation, sans particularité")
+_PAGES_SQL = """e AS (SELECT l_partkey % 500 AS d, l_linenumber AS p, l_returnflag FROM lineitem), n AS (SELECT d, p, count(*) AS n, count_if(l_returnflag = 'A') AS t FROM e GROUP BY 1, 2),
+    bad AS (SELECT d, p, n, CASE WHEN (d + p) % 9 = 0 THEN 'antibiogramme' ELSE 'densite (' || t || ' traitements sur la page)' END AS motif FROM n WHERE (d + p) % 9 = 0 OR t > 10)"""
+
+
+def _dense(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pages with a text, and their entities: one page in nine is an antibiogram."""
+    label = F.when(F.col("l_returnflag") == "A", "treatment").otherwise("problem").alias("label")
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("document_id"), F.col("l_linenumber").alias("page"), "l_returnflag", label)
+    p = e.select("document_id", "page").distinct()
+    return p.withColumn("text", F.when((F.col("document_id") + F.col("page")) % 9 == 0, PAGE_TEXTS[0]).otherwise(PAGE_TEXTS[1])), e
+
+
+@query(f"WITH {_PAGES_SQL} SELECT d AS document_id, p AS page, n AS entites_supprimees, motif FROM bad")
 def drop_dense_pages(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("document_id"), F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") == "A", "treatment").otherwise("problem").alias("label"))
-    p = e.select("document_id", "page").distinct().withColumn("text", F.lit(""))
-    return pages.rejected_pages(p, e)
+    return pages.rejected_pages(*_dense(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT l_partkey % 500 AS d, l_linenumber AS p, l_returnflag FROM lineitem), bad AS (SELECT d, p FROM e GROUP BY 1, 2 HAVING count_if(l_returnflag = 'A') > 10)
-    SELECT l_returnflag, count(*) AS n FROM e WHERE (d, p) NOT IN (SELECT (d, p) FROM bad) GROUP BY 1""")
+@query(f"WITH {_PAGES_SQL} SELECT l_returnflag, count(*) AS n FROM e WHERE (d, p) NOT IN (SELECT (d, p) FROM bad) GROUP BY 1")
 def off_dense_pages(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("document_id"), F.col("l_linenumber").alias("page"), "l_returnflag", F.when(F.col("l_returnflag") == "A", "treatment").otherwise("problem").alias("label"))
-    rejected = pages.rejected_pages(e.select("document_id", "page").distinct().withColumn("text", F.lit("")), e)
-    return pages.off_rejected_pages(e, rejected).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    p, e = _dense(spark, sf_dir)
+    return pages.off_rejected_pages(e, pages.rejected_pages(p, e)).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 FORMS = [("html",), ("doctype html",), ("charset",), ("title",), ("absent",), ("track",)]
@@ -373,12 +388,13 @@ def last_title_asof(spark, sf_dir):
     return out.select(F.col("document_id").alias("user_id"), F.col("debut").cast("long").alias("event_id"), "event_type", F.col("titre_at").cast("long").alias("titre_at"))
 
 
-@query("""WITH t AS (SELECT user_id, event_id, nullif(event_type, 'view') AS ty, value FROM events), p AS (SELECT *, lag(ty) OVER (PARTITION BY user_id ORDER BY event_id) AS pt FROM t),
-    g AS (SELECT *, sum(CAST(ty IS NOT NULL AND (pt IS NULL OR pt <> ty) AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM p)
+@query("""WITH t AS (SELECT user_id, event_id, nullif(event_type, 'view') AS ty, value FROM events), p AS (SELECT *, lag(ty) OVER w AS pt FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    g AS (SELECT *, sum(CAST(ty IS NOT NULL AND (pt IS NULL OR pt <> ty OR event_id % 3 = 0) AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM p)
     SELECT user_id, ty AS label, min(event_id) AS debut, max(event_id) + 1 AS fin, round(avg(value), 6) AS score FROM g WHERE ty IS NOT NULL GROUP BY user_id, n, ty""")
 def bio_islands(spark, sf_dir):
+    """Runs of one type; every third event has a B- label, which begins a mention past the last one's end."""
     t = _events(spark, sf_dir).select(
-        "user_id", F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"), F.nullif("event_type", F.lit("view")).alias("type"), F.col("value").alias("score"), F.lit(False).alias("is_b")
+        "user_id", F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"), F.nullif("event_type", F.lit("view")).alias("type"), F.col("value").alias("score"), (F.col("event_id") % 3 == 0).alias("is_b")
     )
     return entities.decode_bio(t, key="user_id").select("user_id", "label", F.col("debut").cast("long"), F.col("fin").cast("long"), F.round("score", 6).alias("score"))
 
