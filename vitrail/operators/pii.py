@@ -40,6 +40,7 @@ PATTERNS = (
     ),
     ("NUMERO_SEJOUR", r"(?iuU)(?:n[°o.]?\s*(?:de\s*)?s[ée]jour\s*:?\s*)([A-Z0-9\-]{4,15})", 1, 0.90),
 )
+FREE_OF_DIGITS = ("EMAIL", "NUMERO_DOSSIER", "NUMERO_SEJOUR")  # those that may have no digit
 DATE = r"(?U)\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)?\d{2}\b"
 BIRTH_CUE = r"(?iuU)(?:\bn[ée]\(?e?\)?\s+le\b|\bddn\b|\bdon\b|\bnaissance\b|\bnetssance\b)\s*:?\s*"
 DEATH_CUE = r"(?iuU)\bd[ée]c[ée]d[ée]\(?e?\)?\s+le\b"
@@ -77,10 +78,17 @@ def before(lines: Column, row: Column, start: Column, width: int) -> Column:
 
 
 def pattern_spans(text: Column) -> list[Column]:
+    """Identifiers by pattern, and dates."""
+    none = F.array().cast(f"array<{SPAN}>")
+
     def of(seq: int, kind: str, rx: str, group: int, confidence: float) -> Column:
         return F.transform(regex_spans(text, rx, group), lambda s: _span(kind, s, confidence, "regex", "", seq))
 
-    return [of(seq, *p) for seq, p in enumerate(PATTERNS)]
+    every = list(enumerate(PATTERNS))
+    # what must hold a digit is not looked for in a text without one
+    numbers = F.concat(*(of(seq, *p) for seq, p in every if p[0] not in FREE_OF_DIGITS))
+    others = [of(seq, *p) for seq, p in every if p[0] in FREE_OF_DIGITS]
+    return [F.when(text.rlike(r"\p{Nd}"), F.concat(numbers, date_spans(text))).otherwise(none), *others]
 
 
 def date_spans(text: Column) -> Column:
@@ -143,7 +151,7 @@ def pii_spans(text: Column, *detectors: Callable[[Column], Column]) -> Column:
     """All detectors, then the best spans without overlaps; no UDF.  Further
     detectors map the text to an array of spans."""
     t = F.coalesce(text, F.lit(""))
-    found = F.concat(*pattern_spans(t), date_spans(t), titled_names(t), dictionary_names(t), identity_line_names(t), *(d(t) for d in detectors))
+    found = F.concat(*pattern_spans(t), titled_names(t), dictionary_names(t), identity_line_names(t), *(d(t) for d in detectors))
     return keep_best(found, SPAN)
 
 
