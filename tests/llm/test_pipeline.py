@@ -72,3 +72,13 @@ def test_stages_with_repeated_rows_and_nulls(spark, sf_dir):
     assert {r.doc_id for r in cut.collect()} == {1, None, 5}
     packed = P.packing(spark, cut, sf_dir).collect()
     assert sorted(str(r.doc_id) for r in packed) == ["1", "5", "None"]
+
+
+def test_scratch_tables_can_be_removed(spark, make, monkeypatch, tmp_path):
+    from vitrail.llm import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert scratch.written(make([(1,)], "a int"), "x").collect()[0].a == 1
+    assert list(tmp_path.iterdir())
+    scratch.clean(spark)
+    assert not list(tmp_path.iterdir())
