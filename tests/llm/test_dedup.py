@@ -230,3 +230,13 @@ def test_exact_dedup_runs_no_python(spark, sf_dir):
     df = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_an_anchor_in_many_documents_is_many_tasks_work(make):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common = "~" + word(38) + "~"  # shorter than a window: an anchor, no repeat by itself
+    rows = [(i, word(150) + common + word(150)) for i in range(80)]
+    rows += [(100 + i, word(40) + rows[i][1][90:260] + word(40)) for i in range(0, 80, 9)]
+    got = suffix_dedup(make([(i, t, "", 0) for i, t in rows], DDL).repartition(9))
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()} == brute_suffix(rows)

@@ -18,10 +18,12 @@ sparse first and dense only where it must be:
    equal anchors, at the same place.  Windows with one anchor form a run.  A
    run has the anchor's bucket and a refined bucket (the identifiers at
    both ends, hence of all its bytes).  About one suffix in 35 is an anchor.
-2. *Sparse buckets.*  Runs are sorted on both identifiers.  A bucket with one
-   run is done, as in the algorithm's singleton rule.  Runs equal to an
-   earlier one are repeats whole.  What is left are first runs that share an
-   anchor bucket but not the refined one.
+2. *Sparse buckets.*  Runs are sorted on both identifiers, and dealt by both, so
+   that an anchor in very many documents is many tasks' work.  Runs equal to an
+   earlier one are repeats whole.  An anchor bucket with one run is done, as in
+   the algorithm's singleton rule: a task that has several runs of an anchor knows that it is
+   shared, and all tasks tell one about it, by a record each.  What is left are
+   first runs that share an anchor bucket but not the refined one.
 3. *Dense buckets.*  Only for those, every window's own identifier is refined
    and sorted, and all windows but the first of a bucket are marked.
 
@@ -146,7 +148,7 @@ def _by_doc(docs: np.ndarray, *values: np.ndarray) -> dict[int, bytes]:
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs and disjoint spans of each document of the partition's buckets."""
-    found, spans = _gathered(batches)
+    found, spans, _ = _gathered(batches)
     runs_of = _by_doc(*A.unpack_all(found, 2))
     span_of = _by_doc(*A.merged_by(*A.unpack_all(spans, 3)))
     ids = sorted(runs_of.keys() | span_of.keys())
@@ -183,7 +185,7 @@ def _anchor_task(width: int, n_buckets: int):
         again = later(refined, doc, pos)
         rows = _spans_out(doc[again], pos[again], pos[again] + more[again] + width, n_buckets)
         k, r, d, p, m = (x[~again] for x in (key, refined, doc, pos, more))
-        bucket = ((k >> A.U64(20)) % A.U64(n_buckets)).astype(np.int64)
+        bucket = ((A.mix(k, r) >> A.U64(20)) % A.U64(n_buckets)).astype(np.int64)
         rows += [(b, 0, x) for b, x in A.dealt(bucket, n_buckets, k.view(np.int64), r.view(np.int64), d, p * 256 + m)]
         return _parts(rows)
 
@@ -207,8 +209,8 @@ def _anchor_task(width: int, n_buckets: int):
     return task
 
 
-def _gathered(batches) -> tuple[list[bytes], list[bytes]]:
-    kinds: tuple[list[bytes], list[bytes]] = ([], [])
+def _gathered(batches) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    kinds: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
     for batch in batches:
         for k, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             kinds[k].append(x)
@@ -217,7 +219,7 @@ def _gathered(batches) -> tuple[list[bytes], list[bytes]]:
 
 def _sparse_task(width: int, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, spans = _gathered(batches)
+        found, spans, _ = _gathered(batches)
         key, refined, doc, packed = A.unpack_all(found, 4)
         pos, more = packed >> 8, packed & 255
         again = later(refined.view(np.uint64), doc, pos)
@@ -225,11 +227,45 @@ def _sparse_task(width: int, n_buckets: int):
         sdoc, slo, shi = A.merged_by(
             np.r_[sdoc, doc[again]], np.r_[slo, pos[again]], np.r_[shi, pos[again] + more[again] + width]
         )
-        key, refined, doc, packed = (x[~again] for x in (key, refined, doc, packed))
-        order = np.argsort(key, kind="stable")  # first runs of one anchor bucket
-        same = key[order][1:] == key[order][:-1]
-        left = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
-        yield _parts(_runs_out(doc[left], packed[left], n_buckets) + _spans_out(sdoc, slo, shi, n_buckets))
+        key, doc, packed = (x[~again] for x in (key, doc, packed))
+        several = _several(key)
+        # one record of each anchor goes on: the run itself, or that there are more
+        lone, shared = ~several, np.unique(key[several])
+        k = np.r_[key[lone], shared]
+        bucket = ((k.view(np.uint64) >> A.U64(20)) % A.U64(n_buckets)).astype(np.int64)
+        told = A.dealt(bucket, n_buckets, k, np.r_[doc[lone], np.zeros_like(shared)], np.r_[packed[lone], np.full_like(shared, MORE)])
+        rows = _runs_out(doc[several], packed[several], n_buckets) + _spans_out(sdoc, slo, shi, n_buckets)
+        yield _parts(rows + [(b, 2, x) for b, x in told])
+
+    return task
+
+
+MORE = -1  # in place of a run
+
+
+def _several(key: np.ndarray) -> np.ndarray:
+    """Mask of keys that occur more than once."""
+    out = np.zeros(len(key), bool)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    if len(key):
+        out[order] = np.r_[False, same] | np.r_[same, False]
+    return out
+
+
+def _shared_task(n_buckets: int):
+    """Runs of anchors that several tasks told about; what is dealt by document passes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            asked += [x.as_py() for x in batch.column(2).filter(pa.array(kind == 2))]
+            if (kind != 2).any():
+                yield batch.filter(pa.array(kind != 2))
+        key, doc, packed = A.unpack_all(asked, 3)
+        left = _several(key) & (packed != MORE)
+        yield _parts(_runs_out(doc[left], packed[left], n_buckets))
 
     return task
 
@@ -277,7 +313,7 @@ def _dense_task(width: int, n_buckets: int, columns: list[str]):
 
 def _settle_task(width: int, n_buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, spans = _gathered(batches)
+        found, spans, _ = _gathered(batches)
         wid, doc, pos = A.unpack_all(found, 3)
         again = later(wid.view(np.uint64), doc, pos)
         sdoc, slo, shi = A.unpack_all(spans, 3)
@@ -310,6 +346,8 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         .repartition(n, "bucket")
         .mapInArrow(_sparse_task(width, n_buckets), _PART_DDL)
         .repartition(n, "bucket")
+        .mapInArrow(_shared_task(n_buckets), _PART_DDL)
+        .repartition(n, "bucket")
         .mapInArrow(_per_document, _MARK_DDL)
     )
     spans = (
