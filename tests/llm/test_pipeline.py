@@ -82,3 +82,13 @@ def test_scratch_tables_can_be_removed(spark, make, monkeypatch, tmp_path):
     assert list(tmp_path.iterdir())
     scratch.clean(spark)
     assert not list(tmp_path.iterdir())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 7, "x", b"y"), (2, "a b c d e", 8, "x", b"z"), (3, "f g h i j", 9, "x", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, maybe int, _sha string, _id binary")
+    for stage in (P.exact_copies, P.near_copies):
+        out = stage(spark, d, "")
+        assert out.columns == d.columns
+        d = out
+    assert sorted((r.doc_id, r.maybe) for r in d.collect()) == [(2, 8), (3, 9)]

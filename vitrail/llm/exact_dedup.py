@@ -86,7 +86,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone, again = written(fates.where("_gone"), "exact-gone"), fates.where("not _gone")
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
     key, their_key = F.xxhash64("_doc", "_sha"), F.xxhash64("_id", "_digest")
-    told = docs.withColumn("_doc", F.col(id_col)).withColumn("_sha", digest_of(F.col(text_col)))
+    # the row as one column: its own may have any names
+    told = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_doc"), digest_of(F.col(text_col)).alias("_sha"))
     narrow = rows.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"))
     kept, open_ = bloom.settled(told, narrow, key, gone, their_key, same, "exact-filter")
     left = kept.unionByName(open_.join(gone, same, "left_anti"))
@@ -94,4 +95,4 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if again.limit(1).count():
         marked = bloom.flagged(left, key, written(again, "exact-again"), their_key, "exact-again-filter")
         left = marked.where(~F.col("maybe")).drop("maybe").unionByName(marked.where("maybe").drop("maybe").dropDuplicates(["_doc", "_sha"]))
-    return left.select(*docs.columns)
+    return left.select("row.*")
