@@ -45,10 +45,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without id or words are linked with nothing and stay.  Ids are
     shuffled, texts are not, but for those few that the filters can't settle."""
     linked = written(ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    told = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    told = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"))  # its columns may have any names
     key, their_key, same = F.xxhash64("_doc"), F.xxhash64("_id"), F.col("_doc") == F.col("_id")
     kept, open_ = bloom.settled(told, told.select("_doc"), key, linked, their_key, same, "near-filter")
-    return kept.unionByName(open_.join(linked, same, "left_anti")).select(*docs.columns)
+    return kept.unionByName(open_.join(linked, same, "left_anti")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
