@@ -29,7 +29,8 @@ sparse first and dense only where it must be:
 
 Each task settles what it can before it sends: of equal runs or windows it
 keeps the first, so a passage in a third of all rows costs one record a task.
-Records travel as blobs by a hash of their bucket; texts shuffle by id only.
+Records travel as blobs by a hash of their bucket; texts shuffle by id, and only
+those with something to settle.
 64-bit identifiers make a false match about n*n/2**65 likely for n runs.
 """
 
@@ -44,7 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm import arrays as A
-from vitrail.llm.scratch import spread
+from vitrail.llm import bloom
+from vitrail.llm.scratch import spread, written
 
 Q = 32
 TILE = 1 << 19
@@ -332,14 +334,6 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         raise ValueError("width must be 64 to 128")
     n = n_buckets = spread(docs)
     named = docs.where("doc_id is not null")
-    # Renamed, both joins read one exchange: a plain self-join would be
-    # given an alias on one side only, and the texts would shuffle twice.
-    inner = [f"_c{i}" for i in range(len(docs.columns))]
-    key = inner[docs.columns.index("doc_id")]
-
-    def texts() -> DataFrame:
-        return named.select(*(F.col(c).alias(x) for c, x in zip(docs.columns, inner))).repartition(n, key)
-
     marks = (
         named.select("doc_id", "text")
         .mapInArrow(_anchor_task(width, n_buckets), _PART_DDL)
@@ -350,6 +344,19 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         .repartition(n, "bucket")
         .mapInArrow(_per_document, _MARK_DDL)
     )
+    marks = written(marks, "suffix-marks")
+    # A document without runs or spans stays as it is, where it is.  The row is one
+    # column meanwhile, so that its own may have any names.
+    told = named.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"))
+    told = bloom.flagged(told, F.xxhash64("_doc"), marks, F.xxhash64("doc_id"), "suffix-filter")
+    # Renamed, both joins read one exchange: a plain self-join would be
+    # given an alias on one side only, and the texts would shuffle twice.
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    key = inner[docs.columns.index("doc_id")]
+
+    def texts() -> DataFrame:
+        return told.where("maybe").select(*(F.col("row").getField(c).alias(x) for c, x in zip(docs.columns, inner))).repartition(n, key)
+
     spans = (
         texts()
         .join(marks.hint("shuffle_hash"), F.col(key) == F.col("doc_id"))
@@ -366,7 +373,9 @@ def with_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         .join(spans.hint("shuffle_hash"), F.col(key) == F.col("_id"), "left")
         .select(*(F.col(x).alias(c) for c, x in zip(docs.columns, inner)), "_spans")
     )
-    return out.unionByName(docs.where("doc_id is null").withColumn("_spans", F.lit(None).cast("binary")))
+    none = F.lit(None).cast("binary").alias("_spans")
+    apart = told.where(~F.col("maybe")).select("row.*", none)
+    return out.unionByName(apart).unionByName(docs.where("doc_id is null").select("*", none))
 
 
 def spans_of(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
