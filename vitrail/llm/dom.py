@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -62,7 +61,7 @@ class _Stack:
         self.nodes: list[Node] = []
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
-        self.features: Counter[str] = Counter()
+        self.features: dict[str, int] = {}  # how many open elements have each
         self.added: list[list[str]] = []
         self.links = 0
 
@@ -77,15 +76,18 @@ class _Stack:
         features = ["name=" + w for w in names]
         if tag not in ("html", "body"):
             features.append("in=" + tag)
-        fresh = tuple(f for f in features if not self.features[f])
-        self.features.update(features)
+        held, fresh = self.features, []
+        for f in features:
+            if not held.get(f):
+                fresh.append(f)
+            held[f] = held.get(f, 0) + 1
         # the tag of a block is its nearest element that is not mere formatting
         lead = above.lead if tag in INLINE and above and above.lead not in INLINE else tag
         self.places.setdefault(tag, []).append(len(self.tags))
         if tag in BLOCK:
             self.blocks.append(len(self.tags))
         self.tags.append(tag)
-        self.nodes.append(Node(above, lead, fresh))
+        self.nodes.append(Node(above, lead, tuple(fresh)))
         self.added.append(features)
         self.links += tag == "a"
 
@@ -94,7 +96,8 @@ class _Stack:
             tag = self.tags.pop()
             self.nodes.pop()
             self.places[tag].pop()
-            self.features.subtract(self.added.pop())
+            for f in self.added.pop():
+                self.features[f] -= 1
             self.links -= tag == "a"
         while self.blocks and self.blocks[-1] >= i:
             self.blocks.pop()
@@ -183,7 +186,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P and (i := stack.last("p")) > stack.last(*KEEPS_P):
+            if tag in CLOSES_P and (i := stack.last("p")) >= 0 and i > stack.last(*KEEPS_P):
                 stack.pop_to(i)
             if tag in SIBLINGS:
                 same, within = SIBLINGS[tag]
