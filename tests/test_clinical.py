@@ -387,6 +387,8 @@ def test_pages_to_summary(spark):
     rules = {r.valeur: r.regle for r in out["rejects"].collect()}
     assert rules["amoxicilline"] == "P1_page_non_prescriptive" and rules["lésion polypoïde"] == "N1_entite_niee"
     assert [r.page for r in out["rejected_pages"].collect()] == [2] and assemble.violations(out["vsm"]).count() == 0
+    chain.release(out)
+    assert out["held"] and not any(d.is_cached for d in out["held"])
     plain = chain.summarize(p)
     assert plain["vsm"].count() == 1 and "# Volet" in assemble.markdown(plain["vsm"]).first().markdown
     with pytest.raises(ValueError):

@@ -35,7 +35,17 @@ class Options:
     keep_tests: bool = False
 
 
-def entity_fields(docs: DataFrame, page_map: DataFrame, found: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _held(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
+    """Kept, as it is used several times, and spilled to disk rather than recomputed."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(out)
+    return out
+
+
+def entity_fields(
+    docs: DataFrame, page_map: DataFrame, found: DataFrame, options: Options, held: list[DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fields, rejects, rejected pages) of entities (document_id, label, debut, fin,
     score): filters, pages, splitting, routing, validation, posology, and the
     guard that validates an entity whole if none of its parts survived."""
@@ -43,8 +53,7 @@ def entity_fields(docs: DataFrame, page_map: DataFrame, found: DataFrame, option
     e = E.stitch(found, docs).join(text, "document_id")
     e = e.withColumn("regle", E.entity_reject(F.col("text"), options.keep_tests, options.min_score))
     log = e.where("regle is not null").select("document_id", F.col("texte").alias("valeur"), "regle", F.lit("").alias("detail"), F.col("debut").alias("offset_debut"))
-    # used several times each: kept, and spilled to disk rather than recomputed
-    e = P.page_of(e.where("regle is null").drop("regle", "text"), page_map, "debut").persist(StorageLevel.MEMORY_AND_DISK)
+    e = _held(P.page_of(e.where("regle is null").drop("regle", "text"), page_map, "debut"), held)
     bad = P.rejected_pages(page_map, e)
     dropped = e.join(bad.select("document_id", "page", "motif"), ["document_id", "page"])
     log = log.unionByName(dropped.select("document_id", F.col("texte").alias("valeur"), F.lit("P1_page_non_prescriptive").alias("regle"), F.col("motif").alias("detail"), F.col("debut").alias("offset_debut")))
@@ -57,10 +66,10 @@ def entity_fields(docs: DataFrame, page_map: DataFrame, found: DataFrame, option
 
     parts = e.withColumn("p", F.explode(E.split_joined(F.col("texte"), F.col("debut"))))
     parts = parts.withColumn("texte", F.col("p.value")).withColumn("debut", F.col("p.debut")).withColumn("fin", F.col("p.fin")).drop("p")
-    kept, rejects = V.validate(candidates(parts).persist(StorageLevel.MEMORY_AND_DISK))
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    kept, rejects = V.validate(_held(candidates(parts), held))
+    kept = _held(kept, held)
     whole, lost = V.no_loss_guard(candidates(e), kept)
-    kept = kept.unionByName(whole).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _held(kept.unionByName(whole), held)
     generic = kept.where(V.is_generic(F.col("valeur")))
     log = log.unionByName(rejects).unionByName(lost)
     log = log.unionByName(generic.select("document_id", "valeur", F.lit("P4_terme_generique").alias("regle"), F.lit("").alias("detail"), "offset_debut"))
@@ -111,33 +120,34 @@ def summarize(pages: DataFrame, options: Options = Options(), provider: Callable
 
     Tables: vsm (a row per document, with identity), fields (deduplicated), rejects, rejected_pages,
     report (of the language model).  What is used several times is persisted: call `release` when done."""
-    docs, page_map = P.joined_text(pages), P.page_map(pages)
+    docs, page_map, held = P.joined_text(pages), P.page_map(pages), []
     engine, report = engine_of(options.engine), None
     if engine != "rules" and provider is None:
         raise ValueError("this engine needs a provider")
     if engine == "llm":
-        answers = S.llm_answers(docs, provider).persist(StorageLevel.MEMORY_AND_DISK)  # a model is asked once
+        answers = _held(S.llm_answers(docs, provider), held)  # a model is asked once
         fields, rejects, report = llm_fields(docs, answers)
         bad = None
     elif engine == "ner":
-        fields, rejects, bad = entity_fields(docs, page_map, E.with_provider(docs, provider), options)
+        fields, rejects, bad = entity_fields(docs, page_map, E.with_provider(docs, provider), options, held)
     else:
         fields, rejects, bad = rule_fields(docs), None, None
-    located = P.page_of(fields, page_map, "offset_debut").persist(StorageLevel.MEMORY_AND_DISK)
+    located = _held(P.page_of(fields, page_map, "offset_debut"), held)
     headers = P.repeated_headers(located, page_map)
     coded = codes.attach_codes(P.without_headers(located, headers))
     w = Window.partitionBy("document_id", "section").orderBy("offset_debut", "valeur")
-    coded = coded.withColumn("ord", F.row_number().over(w)).withColumn("code", F.col("code_normalise.code")).persist(StorageLevel.MEMORY_AND_DISK)
+    coded = _held(coded.withColumn("ord", F.row_number().over(w)).withColumn("code", F.col("code_normalise.code")), held)
     unique = dedup.deduplicate(coded)
     extra = coded.select("document_id", "section", "ord", "code_normalise", "dosage", "mention_contexte", "offset_debut", "origine")
-    unique = unique.join(extra, ["document_id", "section", "ord"]).persist(StorageLevel.MEMORY_AND_DISK)
+    unique = _held(unique.join(extra, ["document_id", "section", "ord"]), held)
     shown = ["valeur", "confiance", "code_normalise", "mention_contexte", "occurrences", "pages", "passages", "lateralite_divergente", "dosage", "origine"]
     vsm = A.assemble(unique.select("document_id", "section", "ord", *shown), docs)
     vsm = vsm.join(A.identity(docs), "document_id")
     repeated = headers.select("document_id", F.col("forme").alias("valeur"), F.lit("P6_entete_repete").alias("regle"), F.col("pages").cast("string").alias("detail"), F.lit(None).cast("int").alias("offset_debut"))
-    return {"vsm": vsm, "fields": unique, "rejects": repeated if rejects is None else rejects.unionByName(repeated), "rejected_pages": bad, "report": report}
+    return {"vsm": vsm, "fields": unique, "rejects": repeated if rejects is None else rejects.unionByName(repeated), "rejected_pages": bad, "report": report, "held": held}
 
 
-def release(result: DataFrame | None = None, spark=None) -> None:
+def release(result: dict[str, DataFrame]) -> None:
     """Frees what `summarize` keeps, once its tables are written."""
-    (spark or result.sparkSession).catalog.clearCache()
+    for df in result["held"]:
+        df.unpersist()
