@@ -116,7 +116,10 @@ def titled_names(text: Column) -> Column:
     title that only goes with names."""
 
     def span(whole: Column) -> Column:
-        name, title = (F.regexp_extract(whole["value"], TITLED_NAME, g) for g in (2, 1))
+        parts = F.struct(*(F.regexp_extract(whole["value"], TITLED_NAME, g).alias(n) for g, n in ((1, "title"), (2, "name"))))
+        return let(parts, lambda p: named(whole, p["name"], p["title"]))
+
+    def named(whole: Column, name: Column, title: Column) -> Column:
         known = F.exists(_name_words(name), lambda w: in_words(w, T.FIRST_NAMES))
         capitals = F.regexp_extract(name, r"^\S+", 0).rlike(r"^[A-ZÀ-Ý]{2,}[A-ZÀ-Ý\-]*$")
         strong = in_words(F.lower(title), T.STRONG_TITLES)
@@ -144,7 +147,8 @@ def identity_line_names(text: Column) -> Column:
         kept = ~_stopped(s["value"]) & (F.length(F.regexp_extract(s["value"], r"^[^ \t]+", 0)) >= 3)
         return F.when(kept, _span("NOM_PERSONNE", s, 0.85, "heuristique", F.left(row["line"], F.lit(20)), 32))
 
-    return F.filter(line_spans(text, CAPITALS_NAME, IDENTITY_LINE, named), lambda s: s.isNotNull())
+    found = F.filter(line_spans(text, CAPITALS_NAME, IDENTITY_LINE, named), lambda s: s.isNotNull())
+    return F.when(text.rlike(IDENTITY_LINE), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def pii_spans(text: Column, *detectors: Callable[[Column], Column]) -> Column:
