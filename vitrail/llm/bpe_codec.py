@@ -282,6 +282,7 @@ def _chunk_task(path: str, n_buckets: int, chunk_bytes: int):
                     docs, found, code_of, size = [], [], _Codes(), 0
         if docs:
             yield done(chunk, docs, found, code_of)
+        docs, found, code_of = [], [], _Codes()
         A.release()  # the worker lives on beside those of the next stage
 
     return task
@@ -321,6 +322,7 @@ def _distinct_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 asked.setdefault(b, []).append((c, w.as_py()))
     for b in sorted(asked):
         yield from settle(b, [(c, _unstrings(w)) for c, w in asked.pop(b)])
+    A.release()
 
 
 def _answer_task(path: str):
@@ -358,6 +360,8 @@ def _answer_task(path: str):
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
                     names=names,
                 )
+        codes, sizes, ready = [], [], None
+        A.release()
 
     return task
 
@@ -415,6 +419,7 @@ def _document_task(path: str, digests: bool):
                 body = (batch.column(c)[i].as_py() for c in (2, 3, 4))
                 answers = [(a["bucket"], a["sizes"], a["ids"]) for a in batch.column(5)[i].as_py() or ()]
                 yield from documents(*body, answers)
+            A.release()
 
     return task
 
